@@ -18,6 +18,10 @@ def money_sum(col: str | Column) -> Column:
     return F.sum(money(col)).cast("decimal(28,2)")
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def on_days(col: str | Column, first: str, last: str) -> Column:
     """Timestamp lies on a day in [first, last]; half-open bounds reach the Parquet scan."""
     c = F.col(col) if isinstance(col, str) else col
