@@ -104,14 +104,16 @@ def distinct_list(
 def counted_list(
     df: DataFrame, keys: Sequence[str], item: str, separator: str = ", ", name: str = "items"
 ) -> DataFrame:
-    """Sorted list per group that keeps repeats: `a, a, b`.
+    """Sorted values per group with how often each occurs: `a x2, b x1`.
 
-    Equal values travel as one row with a count and are repeated only in the final text,
-    which is as long as the rows it must show.
+    A repeated value is one counted entry, combined map-side, so the text grows with the
+    distinct values of a group and not with its rows.
     """
     counted = df.filter(F.col(item).isNotNull()).groupBy(*keys, item).agg(
-        F.count(F.lit(1)).cast("int").alias("_c")
+        F.count(F.lit(1)).alias("_c")
     )
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(item).alias("v"), F.col("_c").alias("c"))))
-    repeated = F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["v"], p["c"])))
-    return counted.groupBy(*keys).agg(F.array_join(repeated, separator).alias(name))
+    entries = F.sort_array(
+        F.collect_list(F.struct(F.col(item).alias("v"), F.col("_c").alias("c")))
+    )
+    texts = F.transform(entries, lambda p: F.concat(p["v"], F.lit(" x"), p["c"].cast("string")))
+    return counted.groupBy(*keys).agg(F.array_join(texts, separator).alias(name))

@@ -174,8 +174,9 @@ def agg_min_max_dates(t):
 
 @query(
     "agg_group_concat",
-    "SELECT o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities"
-    " FROM orders GROUP BY o_custkey",
+    "SELECT o_custkey, string_agg(o_orderpriority || ' x' || n, ', ' ORDER BY o_orderpriority)"
+    " AS priorities FROM (SELECT o_custkey, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ALL)"
+    " GROUP BY o_custkey",
 )
 def agg_group_concat(t):
     return counted_list(t.orders, ["o_custkey"], "o_orderpriority", name="priorities")
