@@ -10,9 +10,9 @@ from lakemill.plans.registry import query
 # ------------------------------------------------------------------ scans and filters
 
 
-@query("src_table_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("src_table_scan", "SELECT * FROM customer")
 def table_scan(t):
-    return t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    return t.customer
 
 
 @query(

@@ -68,9 +68,9 @@ def fn_replace(t):
     )
 
 
-@query("fn_lower_names", "SELECT n_nationkey AS key, n_name AS name FROM nation")
+@query("fn_lower_names", "SELECT c_custkey AS key, c_name AS name FROM customer")
 def fn_lower_names(t):
-    loud = t.nation.select(C("n_nationkey").alias("KEY"), C("n_name").alias("Name"))
+    loud = t.customer.select(C("c_custkey").alias("KEY"), C("c_name").alias("Name"))
     return loud.toDF(*[name.lower() for name in loud.columns])
 
 
