@@ -72,7 +72,6 @@ def is_json(c: str | Column) -> Column:
     return F.when(col(c).isNotNull(), F.try_parse_json(col(c)).isNotNull())
 
 
-# Key types and what a raw cell becomes before keys are compared.
 def key_value(c: str | Column, type_name: str) -> Column:
     """Comparable form of a key cell by its declared type, so that 1 and '1' are one key."""
     text = F.trim(col(c).cast("string"))
@@ -90,4 +89,5 @@ def key_value(c: str | Column, type_name: str) -> Column:
 def pseudo_random(key: str | Column, seed: int, bound: int) -> Column:
     """Whole number in [0, bound) fixed by key and seed: a retried task repeats it exactly."""
     mixed = F.pmod(col(key).cast("bigint") % 2147483647 * 48271 + seed * 7919, F.lit(2147483647))
-    return F.pmod(F.floor(mixed * 16807 / 127).cast("bigint"), F.lit(bound))
+    spread = F.call_function("div", mixed * 16807, F.lit(127))
+    return F.pmod(spread, F.lit(bound))

@@ -1 +1,123 @@
-"""..."""
+"""Trigger jobs run over whole tables as streams of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakemill.functions.text import inverted_index
+from lakemill.operators.relational import money, row_count
+from lakemill.plans.registry import query
+from lakemill.plans.textvec import TOKENS_SQL
+from lakemill.session import SCHEMAS, work_folder
+from lakemill.sources.sinks import month_bounds, period_column
+from lakemill.streaming import jobs as J
+
+C = F.col
+
+
+def stream(t, name):
+    """A file stream takes a folder or a pattern, so the table's name is given as a pattern that
+    fits a single file and a folder of files alike."""
+    return J.read_files(t.spark, f"{t.dir}/{name}[.]parquet", SCHEMAS[name])
+
+
+# Events as changes of a text per user: sign-ups insert, errors delete, all others update.
+CHANGES_SQL = (
+    "SELECT event_id AS seq, user_id AS key, CASE event_type WHEN 'signup' THEN 'insert'"
+    " WHEN 'error' THEN 'delete' ELSE 'update' END AS op, CASE WHEN event_type = 'click' AND"
+    " value > 10 THEN NULL WHEN event_type = 'view' AND value < 5 THEN props ELSE event_type END"
+    " AS old_text, props AS text FROM events"
+)
+COPY_SQL = (
+    "SELECT key, text FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r"
+    f" FROM ({CHANGES_SQL}) WHERE op <> 'update' OR old_text <> text) WHERE r = 1 AND"
+    " op <> 'delete'"
+)
+
+
+def text_changes(t):
+    kind, value = C("event_type"), C("value")
+    return stream(t, "events").select(
+        C("event_id").alias("seq"),
+        C("user_id").alias("key"),
+        F.when(kind == "signup", "insert").when(kind == "error", "delete").otherwise("update")
+        .alias("op"),
+        F.when((kind == "click") & (value > 10), None)
+        .when((kind == "view") & (value < 5), C("props"))
+        .otherwise(kind)
+        .alias("old_text"),
+        C("props").alias("text"),
+    )
+
+
+def synced(t, purpose):
+    output = work_folder(t.spark, purpose)
+    J.sync_text(text_changes(t), output)
+    return J.read_copy(t.spark, output)
+
+
+@query("stm_sync_text", COPY_SQL)
+def sync_text(t):
+    return synced(t, "sync-text").select("key", "text")
+
+
+@query("stm_touch_updated", f"SELECT key, TRUE AS stamped FROM ({COPY_SQL})")
+def touch_updated(t):
+    """Every row carries the time of the batch that last changed it."""
+    rows = synced(t, "touched")
+    fresh = C("last_update").between(F.lit("2024-01-01").cast("timestamp"), F.current_timestamp())
+    return rows.select("key", fresh.alias("stamped"))
+
+
+@query(
+    "stm_token_index",
+    f"SELECT token, COUNT(DISTINCT doc_id) AS documents, COUNT(*) AS hits FROM ({TOKENS_SQL})"
+    " GROUP BY token",
+)
+def token_index(t):
+    """Postings stored as documents arrive; document counts read from the stored postings."""
+    output = work_folder(t.spark, "token-index")
+    J.derive(stream(t, "documents"), output, lambda b: inverted_index(b, "doc_id", "text"))
+    postings = J.read_batches(t.spark, output, "token string, doc_id bigint, hits bigint")
+    return postings.groupBy("token").agg(
+        row_count().alias("documents"), F.sum("hits").alias("hits")
+    )
+
+
+@query(
+    "stm_monthly_payments",
+    "SELECT CASE WHEN year(o_orderdate) BETWEEN 1996 AND 1999 THEN strftime(o_orderdate, '%Y-%m')"
+    " ELSE 'OUT_OF_RANGE' END AS period, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS"
+    " DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount FROM orders GROUP BY 1",
+)
+def monthly_payments(t):
+    payments = stream(t, "orders").select(
+        "o_orderkey", "o_orderdate", money("o_totalprice").alias("amount")
+    )
+    period = period_column(F.to_date("o_orderdate"), month_bounds(1996, 1999), "1996-01-01")
+    stored = J.partition_rows(payments, work_folder(t.spark, "payments"), period)
+    return stored.groupBy("period").agg(
+        row_count().alias("n"), F.sum("amount").cast("decimal(28,2)").alias("amount")
+    )
+
+
+@query(
+    "stm_incremental_mv",
+    "SELECT strftime(l_shipdate, '%Y-%m') AS month, CAST(SUM(CAST(l_extendedprice AS"
+    " DECIMAL(18,2))) AS DECIMAL(28,2)) AS dollars, CAST(SUM(CAST(l_quantity AS BIGINT)) AS"
+    " BIGINT) AS quantity FROM lineitem GROUP BY 1",
+)
+def incremental_mv(t):
+    output = work_folder(t.spark, "month-sales")
+    J.incremental_sums(
+        stream(t, "lineitem"),
+        output,
+        [F.date_format("l_shipdate", "yyyy-MM").alias("month")],
+        {"dollars": money("l_extendedprice"), "quantity": C("l_quantity").cast("bigint")},
+    )
+    stored = J.read_batches(
+        t.spark, output, "month string, dollars decimal(28,2), quantity bigint"
+    )
+    return stored.groupBy("month").agg(
+        F.sum("dollars").cast("decimal(28,2)").alias("dollars"), F.sum("quantity").alias("quantity")
+    )

@@ -15,13 +15,10 @@ def period_column(day: Column, bounds: Sequence[tuple[str, str]], lowest: str |
 
     Days before `lowest` or from the last end on get the label OUT_OF_RANGE, not an error.
     """
-    label = F.lit(None).cast("string")
-    if lowest is not None:
-        label = F.when(day < F.lit(lowest).cast("date"), OUT_OF_RANGE)
+    label = F.when(day < F.lit(lowest or "0001-01-01").cast("date"), OUT_OF_RANGE)
     for name, end in bounds:
-        below = F.when(day < F.lit(end).cast("date"), name)
-        label = F.coalesce(label, below)
-    return F.coalesce(label, F.lit(OUT_OF_RANGE))
+        label = label.when(day < F.lit(end).cast("date"), name)
+    return label.otherwise(OUT_OF_RANGE)
 
 
 def month_bounds(first_year: int, last_year: int) -> list[tuple[str, str]]:
