@@ -4,37 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dot(a: str, b: str, size: int) -> Column:
-    """Sum of products, written out per position so that it compiles to straight code."""
-    terms = [
-        F.get(F.col(a), F.lit(i)).cast("double") * F.get(F.col(b), F.lit(i)).cast("double")
-        for i in range(size)
-    ]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
-
-
-def cosine_scores(vectors: DataFrame, vector: str, queries: DataFrame, size: int) -> DataFrame:
-    """Cosine of every vector with each query vector; `queries` is a short (query_id, q) list.
-
-    The queries travel as one array with the plan, and each task scores its own rows against
-    them: the vectors are read once and not moved.
-    """
-    listed = queries.agg(F.sort_array(F.collect_list(F.struct("query_id", "q")))).scalar()
-    rows = vectors.withColumn("_n", F.sqrt(dot(vector, vector, size)))
-    paired = rows.withColumn("_q", F.explode(listed)).select(
-        *vectors.columns, "_n", F.col("_q.query_id").alias("query_id"), F.col("_q.q").alias("_v")
-    )
-    norm = F.col("_n") * F.sqrt(dot("_v", "_v", size))
-    return paired.withColumn("score", dot(vector, "_v", size) / norm).drop("_n", "_v")
-
-
 def top_k(
     vectors: DataFrame,
     key: str,
@@ -42,21 +17,58 @@ def top_k(
     queries: DataFrame,
     size: int,
     k: int,
-    per_pass: int = 1000,
+    per_pass: int = 500,
 ) -> DataFrame:
-    """(query_id, key, score): the k nearest vectors per query, exact.
+    """(query_id, key, score): the k nearest vectors by cosine to each query, exact.
 
-    Each task keeps its own k best per query before the shuffle. More than `per_pass` queries
-    are answered in several passes over the vectors, so what a plan carries stays bounded.
+    `queries` is (query_id bigint, q). The vectors are read where they lie: each task scores its
+    Arrow batches against the queries with one matrix product and hands on only the rows that
+    can still be among the k best, ties included. More than `per_pass` queries are answered in
+    several passes, so what goes to the tasks stays bounded.
     """
     passes = -(-max(queries.count(), 1) // per_pass)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     parts = []
     for i in range(passes):
         share = queries
         if passes > 1:
             share = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        scored = cosine_scores(vectors.select(key, vector), vector, share, size).drop(vector)
-        ranked = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
-        parts.append(ranked.select("query_id", key, "score"))
-    return reduce(DataFrame.unionByName, parts)
+        rows = share.select(F.col("query_id").cast("bigint"), "q").collect()
+        if rows:
+            parts.append(_one_pass(vectors, key, vector, rows, size, k))
+    if not parts:
+        return vectors.sparkSession.createDataFrame(
+            [], f"query_id bigint, {key} bigint, score double"
+        )
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("_r", F.row_number().over(best))
+    return ranked.filter(F.col("_r") <= k).drop("_r")
+
+
+def _one_pass(vectors, key, vector, rows, size, k):
+    ids = np.array([r.query_id for r in rows], dtype=np.int64)
+    wanted = np.array([r.q for r in rows], dtype=np.float64)
+    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+
+    def score(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            given = flat.reshape(-1, size)
+            if not len(given):
+                continue
+            scores = (given @ wanted.T) / np.linalg.norm(given, axis=1, keepdims=True)
+            if len(given) > k:
+                least = np.partition(scores, len(given) - k, axis=0)[len(given) - k]
+                at, which = np.nonzero(scores >= least)
+            else:
+                at, which = np.nonzero(np.ones_like(scores, dtype=bool))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[which]),
+                    batch.column(0).take(pa.array(at)),
+                    pa.array(scores[at, which]),
+                ],
+                names=["query_id", key, "score"],
+            )
+
+    usable = vectors.filter(F.size(vector) == size).select(F.col(key).cast("bigint"), vector)
+    return usable.mapInArrow(score, f"query_id bigint, {key} bigint, score double")

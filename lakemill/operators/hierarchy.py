@@ -24,7 +24,6 @@ def resolve_roots(
         F.coalesce(parent, node).alias("root"),
         F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"),
     )
-    state = materialise(state, "roots")
     for _ in range(max_rounds):
         step = state.select(
             F.col("node").alias("_n"), F.col("root").alias("_r"), F.col("depth").alias("_d")

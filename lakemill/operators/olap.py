@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rollup_along(df: DataFrame, levels: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+def rollup_along(df: DataFrame, levels: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """Sums for every level of a hierarchy, coarsest level first in `levels`, and the total.
+    `sums` names additive aggregates.
 
     Rows are summed to the finest level once, and the coarser levels are summed from that:
     the expansion into one copy per level then works on groups, not on raw rows.
     `level` is the number of hierarchy levels a row keeps; 0 is the grand total.
     """
-    finest = df.groupBy(*levels).agg(*[F.sum(src).alias(out) for out, src in sums.items()])
+    finest = df.groupBy(*levels).agg(*[total.alias(out) for out, total in sums.items()])
     depth = F.grouping_id()
     kept = F.lit(len(levels)) - F.length(F.regexp_replace(F.bin(depth), "0", ""))
     rolled = finest.rollup(*levels).agg(

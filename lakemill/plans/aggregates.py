@@ -238,7 +238,7 @@ GROUPED_SQL = (
 def store_status_totals(t):
     """Totals of the finest group; every coarser set is summed from these few rows."""
     per_customer = t.orders.groupBy("o_custkey", C("o_orderstatus").alias("status")).agg(
-        row_count().alias("n"), F.sum(money("o_totalprice")).alias("total")
+        row_count().alias("n"), money_sum("o_totalprice").alias("total")
     )
     return (
         per_customer.join(t.customer, C("o_custkey") == C("c_custkey"))
@@ -285,10 +285,9 @@ def agg_grouping_id(t):
 def agg_rollup_hierarchy(t):
     d = "l_shipdate"
     facts = t.lineitem.select(
-        F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"),
-        money("l_extendedprice").alias("price"),
+        F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), "l_extendedprice"
     )
-    rolled = rollup_along(facts, ["y", "q", "m"], {"total": "price"})
+    rolled = rollup_along(facts, ["y", "q", "m"], {"total": money_sum("l_extendedprice")})
     return rolled.withColumn("total", C("total").cast("decimal(28,2)"))
 
 

@@ -87,8 +87,8 @@ def update_where(t):
 )
 def update_scalar(t):
     """A subquery without a row sets NULL."""
-    price = t.part.filter("p_size = 1").agg(F.max(money("p_retailprice"))).scalar()
-    nothing = t.part.filter("p_size < 0").agg(F.max(money("p_retailprice"))).scalar()
+    price = t.part.filter("p_size = 1").agg(money(F.max("p_retailprice"))).scalar()
+    nothing = t.part.filter("p_size < 0").agg(money(F.max("p_retailprice"))).scalar()
     rows = t.orders.select(
         "o_orderkey", "o_orderpriority", money("o_totalprice").alias("total_cost")
     )

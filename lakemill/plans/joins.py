@@ -33,7 +33,7 @@ def join_inner(t):
 def join_inner_multi(t):
     """Lines are summed per order and then per customer before each join, so the joins
     move one row per key and a heavy customer is one row too."""
-    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).alias("s"))
+    per_order = t.lineitem.groupBy("l_orderkey").agg(money_sum("l_extendedprice").alias("s"))
     per_customer = (
         per_order.join(t.orders, C("l_orderkey") == C("o_orderkey"))
         .groupBy("o_custkey")
@@ -87,7 +87,7 @@ def join_composite_key(t):
     costs = (
         t.lineitem.filter("l_discount > 0.02")
         .groupBy(*keys)
-        .agg(F.min(money("l_extendedprice")).alias("unit_cost"))
+        .agg(money(F.min("l_extendedprice")).alias("unit_cost"))
     )
     return t.lineitem.join(costs, keys).select(
         "l_orderkey", "l_linenumber", "l_partkey", "unit_cost"
@@ -206,7 +206,7 @@ def join_name_match(t):
 )
 def join_cross_scalar(t):
     """The one-row side is a scalar subquery: one number shipped with the plan."""
-    mean = t.orders.agg(F.avg(money("o_totalprice")).cast("double")).scalar()
+    mean = t.orders.agg(money_sum("o_totalprice").cast("double") / F.count("o_totalprice")).scalar()
     return t.orders.filter(C("o_totalprice") > mean).select(
         "o_orderkey", F.round(mean, 2).alias("mean_price")
     )
@@ -263,7 +263,7 @@ def join_anti_orphan(t):
     " AS DECIMAL(28,2)) AS total_cost FROM supplier",
 )
 def join_scalar_subquery(t):
-    price = t.part.agg(F.max(money("p_retailprice"))).scalar()
+    price = t.part.agg(money(F.max("p_retailprice"))).scalar()
     return t.supplier.select(
         "s_suppkey", (F.lit(11) * price).cast("decimal(28,2)").alias("total_cost")
     )

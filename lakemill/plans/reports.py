@@ -403,7 +403,7 @@ def branch_managers(t):
 def patient_bill_total(t, name="Customer#000000077"):
     """The sum billed to one named patient and the number of bills; NULL and 0 without any."""
     per_order = t.lineitem.groupBy("l_orderkey").agg(
-        F.sum(money("l_extendedprice")).alias("s"), row_count().alias("n")
+        money_sum("l_extendedprice").alias("s"), row_count().alias("n")
     )
     theirs = t.customer.filter(C("c_name") == name)
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakemill.functions.text import inverted_index
-from lakemill.operators.relational import money, row_count
+from lakemill.operators.relational import money, money_sum, row_count
 from lakemill.plans.registry import query
 from lakemill.plans.textvec import TOKENS_SQL
 from lakemill.session import SCHEMAS, work_folder
@@ -113,7 +113,10 @@ def incremental_mv(t):
         stream(t, "lineitem"),
         output,
         [F.date_format("l_shipdate", "yyyy-MM").alias("month")],
-        {"dollars": money("l_extendedprice"), "quantity": C("l_quantity").cast("bigint")},
+        {
+            "dollars": money_sum("l_extendedprice"),
+            "quantity": F.sum(C("l_quantity").cast("bigint")),
+        },
     )
     stored = J.read_batches(
         t.spark, output, "month string, dollars decimal(28,2), quantity bigint"

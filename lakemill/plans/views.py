@@ -18,7 +18,14 @@ from lakemill.operators.olap import (
     rollup_from,
     time_dimension,
 )
-from lakemill.operators.relational import money, money_sum, row_count, with_group_values
+from lakemill.operators.relational import (
+    cents,
+    money,
+    money_sum,
+    row_count,
+    sum_cents,
+    with_group_values,
+)
 from lakemill.operators.summaries import create_summary, read_summary, refresh_summary
 from lakemill.plans import fixtures as X
 from lakemill.plans.aggregates import objects_per_supplier, truncated_sql
@@ -30,8 +37,9 @@ PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 LINE_TOTAL = f"CAST(l_quantity AS INTEGER) * {PRICE}"
 
 
-def line_total():
-    return C("l_quantity").cast("int") * money("l_extendedprice")
+def line_total_sum():
+    """Exact total of quantity times unit price."""
+    return sum_cents(C("l_quantity").cast("int") * cents("l_extendedprice"))
 
 
 # ------------------------------------------------------------------------ list views
@@ -159,7 +167,7 @@ CATEGORY_SQL = (
 
 
 def category_sales(t):
-    per_part = t.lineitem.groupBy("l_partkey").agg(F.sum(money("l_extendedprice")).alias("s"))
+    per_part = t.lineitem.groupBy("l_partkey").agg(money_sum("l_extendedprice").alias("s"))
     return (
         per_part.join(t.part, C("l_partkey") == C("p_partkey"))
         .groupBy(C("p_brand").alias("category"))
@@ -314,7 +322,7 @@ ITEMS_SQL = truncated_sql(
 )
 def customer_order_products(t):
     totals = t.lineitem.groupBy("l_orderkey").agg(
-        F.sum(line_total()).cast("decimal(28,2)").alias("order_total")
+        line_total_sum().alias("order_total")
     )
     lines = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey"))
     items = truncated_list(lines, ["l_orderkey"], "p_name", ITEM_ORDER, limit=60)
@@ -341,7 +349,7 @@ def customer_order_products(t):
 def store_orders(t):
     """An order has one store and one status, so distinct orders of a coarser set are the sum
     over its finest groups: the sets expand a few groups instead of every line four times."""
-    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(line_total()).alias("sales"))
+    per_order = t.lineitem.groupBy("l_orderkey").agg(line_total_sum().alias("sales"))
     finest = (
         t.orders.join(per_order, C("o_orderkey") == C("l_orderkey"))
         .groupBy("o_custkey", "o_orderstatus")
@@ -423,7 +431,7 @@ def product_orders(t):
         t.orders.select("o_orderkey", "o_orderstatus"), C("l_orderkey") == C("o_orderkey")
     )
     per_part = lines.groupBy("l_partkey", "o_orderstatus").agg(
-        F.sum(line_total()).alias("s"), row_count().alias("n")
+        line_total_sum().alias("s"), row_count().alias("n")
     )
     return (
         per_part.join(t.part, C("l_partkey") == C("p_partkey"))
@@ -449,7 +457,7 @@ def profits(t):
     costs = (
         t.lineitem.filter("l_discount >= 0.03D")
         .groupBy(*keys)
-        .agg(F.min(money("l_extendedprice")).alias("unit_cost"))
+        .agg(money(F.min("l_extendedprice")).alias("unit_cost"))
     )
     total = C("unit_cost") * C("l_quantity").cast("int")
     return t.lineitem.join(costs, keys).select(
@@ -589,8 +597,9 @@ def rollup_sql(levels: str, source: str, value: str, exprs: str | None = None) -
     )
 
 
-def rolled(df, levels):
-    return rollup_along(df, levels, {"total": "v"}).withColumn(
+def rolled(df, levels, total=None):
+    total = F.sum("v") if total is None else total
+    return rollup_along(df, levels, {"total": total}).withColumn(
         "total", C("total").cast("decimal(28,2)")
     )
 
@@ -605,7 +614,7 @@ def rolled(df, levels):
     ),
 )
 def customer_rollup(t):
-    per = t.orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("v"))
+    per = t.orders.groupBy("o_custkey").agg(money_sum("o_totalprice").alias("v"))
     facts = (
         per.join(t.customer, C("o_custkey") == C("c_custkey"))
         .join(t.nation, C("c_nationkey") == C("n_nationkey"))
@@ -621,7 +630,7 @@ def customer_rollup(t):
     ),
 )
 def product_rollup(t):
-    per = t.lineitem.groupBy("l_partkey").agg(F.sum(money("l_extendedprice")).alias("v"))
+    per = t.lineitem.groupBy("l_partkey").agg(money_sum("l_extendedprice").alias("v"))
     facts = per.join(t.part, C("l_partkey") == C("p_partkey"))
     return rolled(facts, ["p_brand", "p_type", "p_partkey"])
 
@@ -640,9 +649,9 @@ def time_rollup(t):
     day = "l_shipdate"
     facts = t.lineitem.select(
         F.year(day).alias("y"), F.quarter(day).alias("q"), F.month(day).alias("m"),
-        F.to_date(day).alias("d"), money("l_extendedprice").alias("v"),
+        F.to_date(day).alias("d"), "l_extendedprice",
     )
-    return rolled(facts, ["y", "q", "m", "d"])
+    return rolled(facts, ["y", "q", "m", "d"], money_sum("l_extendedprice"))
 
 
 @query(
@@ -652,8 +661,7 @@ def time_rollup(t):
     ),
 )
 def channel_rollup(t):
-    facts = t.orders.withColumn("v", money("o_totalprice"))
-    return rolled(facts, ["o_orderstatus", "o_orderpriority"])
+    return rolled(t.orders, ["o_orderstatus", "o_orderpriority"], money_sum("o_totalprice"))
 
 
 @query(
@@ -661,8 +669,8 @@ def channel_rollup(t):
     rollup_sql("l_returnflag, l_linestatus, l_linenumber", "lineitem", PRICE),
 )
 def promo_rollup(t):
-    facts = t.lineitem.withColumn("v", money("l_extendedprice"))
-    return rolled(facts, ["l_returnflag", "l_linestatus", "l_linenumber"])
+    levels = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return rolled(t.lineitem, levels, money_sum("l_extendedprice"))
 
 
 @query(

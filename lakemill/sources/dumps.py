@@ -60,17 +60,23 @@ def read_inserts(
     names = F.transform(
         F.split("c", ","), lambda n: F.lower(F.regexp_replace(n, r"[\s`\"\[\]]", ""))
     )
-    given = F.array(*[F.lit(f.name.lower()) for f in target])
-    tuples = head.select(
-        F.when(F.col("c") == "", given).otherwise(names).alias("names"),
-        F.explode(F.regexp_extract_all("body", F.lit(_TUPLE))).alias("tuple"),
+    # Where each target column stands in a statement's tuples; past the end if it is absent.
+    absent = F.lit(1 << 30)
+    found = [F.array_position("names", f.name.lower()).cast("int") for f in target]
+    listed = F.array(*[F.when(at > 0, at - 1).otherwise(absent) for at in found])
+    in_order = F.array(*[F.lit(i) for i in range(len(target))])
+    tuples = (
+        head.withColumn("names", names)
+        .select(F.when(F.col("c") == "", in_order).otherwise(listed).alias("at"), "body")
+        .select("at", F.explode(F.regexp_extract_all("body", F.lit(_TUPLE))).alias("tuple"))
     )
     # Where the tuple ends the pattern also matches an empty rest; positions ignore it.
-    values = tuples.select("names", F.regexp_extract_all("tuple", F.lit(_VALUE)).alias("v"))
+    texts = F.transform(F.regexp_extract_all("tuple", F.lit(_VALUE)), unquote)
+    values = tuples.select("at", texts.alias("v"))
+    values = values.select(F.transform("at", lambda i: F.get("v", i)).alias("v"))
 
     def cell(f):
-        at = F.array_position("names", f.name.lower()).cast("int")
-        raw = F.when(at > 0, unquote(F.get("v", at - 1)))
+        raw = F.get("v", F.lit(target.names.index(f.name)))
         if isinstance(f.dataType, T.BooleanType):
             return F.lower(F.trim(raw)).isin(*TRUE_TOKENS).alias(f.name)
         if isinstance(f.dataType, T.DateType):

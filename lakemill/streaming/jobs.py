@@ -127,9 +127,10 @@ def partition_rows(stream: DataFrame, output: str, period: Column) -> DataFrame:
 def incremental_sums(
     stream: DataFrame, output: str, keys: Sequence[Column], sums: dict[str, Column]
 ) -> None:
-    """Keep a summary current: each batch stores its own partial sums per key."""
+    """Keep a summary current: each batch stores its own partial sums per key.
+    `sums` names additive aggregates."""
 
     def make(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        return batch.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
 
     derive(stream, output, make)
