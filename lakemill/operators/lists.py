@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,21 +40,24 @@ def truncated_list(
     separator: str = ", ",
     marker: str = "...",
     name: str = "items",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Ordered list per group that stops at the first item past `limit` bytes and then says
     how many items were left out: `a, b, ...(3)`. NULL items are skipped.
 
     A list of at most `limit` bytes holds at most limit / separator items, so only that many
     rows per group are ever brought together; the rest are only counted, map-side first.
-    `order` must identify a row within its group.
+    `order` must identify a row within its group; `also` adds aggregates of the group.
     """
-    given = df.filter(F.col(item).isNotNull())
     step = len(separator.encode())
+    if step == 0:
+        raise ValueError("a list needs a separator")
+    given = df.filter(F.col(item).isNotNull())
     k = limit // step + 2
-    counts = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    counts = df.groupBy(*keys).agg(F.count(item).alias("_total"), *also)
     heads = (
         first_items(given.select(*dict.fromkeys([*keys, item, *order])), keys, order, k)
-        .groupBy(*keys)
+        .groupBy(*[F.col(c).alias(f"_g_{c}") for c in keys])
         .agg(F.sort_array(F.collect_list(F.struct("_pos", F.col(item).alias("v")))).alias("_h"))
     )
 
@@ -72,8 +76,11 @@ def truncated_list(
 
         return F.aggregate(items, start, add, lambda acc: acc["n"])
 
-    joined = heads.join(counts, list(keys)).withColumn("_n", fits(F.col("_h")))
-    shown = F.array_join(F.transform(F.slice("_h", F.lit(1), F.col("_n")), lambda r: r["v"]), separator)
+    more = [c for c in counts.columns if c not in (*keys, "_total")]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys])
+    joined = counts.join(heads, same, "left").withColumn("_n", fits(F.col("_h")))
+    fitting = F.transform(F.slice("_h", F.lit(1), F.col("_n")), lambda r: r["v"])
+    shown = F.array_join(fitting, separator)
     left_out = F.col("_total") - F.col("_n")
     mark = F.concat(
         F.when(F.col("_n") > 0, F.lit(separator)).otherwise(F.lit("")),
@@ -81,20 +88,27 @@ def truncated_list(
         left_out.cast("string"),
         F.lit(")"),
     )
-    return joined.select(
-        *keys, F.when(left_out == 0, shown).otherwise(F.concat(shown, mark)).alias(name)
-    )
+    text = F.when(left_out == 0, shown).otherwise(F.concat(shown, mark))
+    return joined.select(*keys, text.alias(name), *more)
 
 
 def distinct_list(
-    df: DataFrame, keys: Sequence[str], item: str, separator: str = ", ", name: str = "items"
+    df: DataFrame,
+    keys: Sequence[str],
+    item: str,
+    separator: str = ", ",
+    name: str = "items",
+    is_distinct: bool = False,
 ) -> DataFrame:
     """Sorted distinct values per group as text.
 
     Copies are dropped map-side before anything is listed, so what a group brings together
     is its set of values, however many rows it has. Groups of NULLs only give NULL.
+    `is_distinct` says that the input holds no copies.
     """
-    pairs = df.select(*keys, item).distinct()
+    pairs = df.select(*keys, item)
+    if not is_distinct:
+        pairs = pairs.distinct()
     values = F.sort_array(F.collect_list(item))
     return pairs.groupBy(*keys).agg(
         F.when(F.count(item) > 0, F.array_join(values, separator)).alias(name)

@@ -98,18 +98,14 @@ def dedupe_pk(table: Relation) -> tuple[DataFrame, DataFrame]:
 
 
 def report_counts(parts: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
-    """(table_name, rule, n) from sets of rows, and a total."""
+    """(table_name, rule, n) from sets of rows."""
     counts = [
         rows.agg(row_count().alias("n")).select(
             F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "n"
         )
         for table, rule, rows in parts
     ]
-    stacked = reduce(DataFrame.unionByName, counts)
-    total = stacked.agg(F.sum("n").alias("n")).select(
-        F.lit("TOTAL").alias("table_name"), F.lit("").alias("rule"), "n"
-    )
-    return stacked.unionByName(total)
+    return reduce(DataFrame.unionByName, counts)
 
 
 # ---------------------------------------------------------------------- constraint checks

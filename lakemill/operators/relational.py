@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakemill.session import materialise
+
 
 def money(col: str | Column) -> Column:
     """Exact two-digit money, so that sums do not depend on the order of addition."""
@@ -62,11 +64,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def with_group_values(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """Add per-group aggregates to every row: aggregate, then join back.
 
-    The window form would bring a whole group into one task. Here groups are combined
-    before the shuffle, and the join back is a broadcast or a skew join as sizes demand.
-    Groups are matched null-safe, as PARTITION BY does.
+    The window form would bring a whole group into one task. Here groups are combined before
+    the shuffle and written out, so that the planner knows their size: a short list is
+    broadcast and the rows stay where they are, a long one takes a sort-merge join with skew
+    handling. Groups are matched null-safe, as PARTITION BY does.
     """
-    grouped = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(*aggregates)
+    grouped = materialise(
+        df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(*aggregates), "groups"
+    )
     match = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
     )
@@ -82,12 +87,24 @@ def stack_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_total(counts: DataFrame, labels: Sequence[str], value: str = "n") -> DataFrame:
+    """Add a TOTAL row to a table of counts, from one evaluation of it."""
+    first, *others = labels
+    keys = F.struct(*labels)
+    total = F.struct(F.lit("TOTAL").alias(first), *[F.lit("").alias(c) for c in others])
+    twice = counts.select(F.explode(F.array(keys, total)).alias("_l"), value)
+    return (
+        twice.groupBy("_l").agg(F.sum(value).alias(value)).select("_l.*", value)
+    )
+
+
 def dense_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a Parquet read 1..N in source order, without sorting them.
 
     A row's number is the count of rows in earlier files plus its index in its own file,
     both fixed by the files themselves: a lost task recomputes the same numbers.
-    The running total is over one row per file.
+    The running total and the broadcast are over one row per file, a list that the driver's
+    file index holds already; counting reads no column.
     """
     columns = df.columns
     placed = df.select(
@@ -98,16 +115,10 @@ def dense_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
     files = df.select(F.col("_metadata.file_path").alias("_of")).groupBy("_of").count()
     before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("_of", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    numbered = placed.join(offsets, F.col("_file") == F.col("_of"))
+    numbered = placed.join(F.broadcast(offsets), F.col("_file") == F.col("_of"))
     return numbered.select((F.col("_base") + F.col("_index") + 1).alias(name), *columns)
 
 
 def first_in_source_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep the first row per key in the order of a Parquet read."""
-    columns = df.columns
-    placed = df.select(
-        *columns,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_index"),
-    )
-    return latest_per_key(placed, keys, [F.col("_file"), F.col("_index")]).select(*columns)
+    return latest_per_key(dense_row_numbers(df, "_row"), keys, [F.col("_row")]).drop("_row")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import scalars as S
 from lakemill.operators import quality as Q
-from lakemill.operators.relational import row_count, stack_counts
+from lakemill.operators.relational import stack_counts, with_total
 from lakemill.plans.filters import COUNTED
 from lakemill.plans.registry import ORACLES, QUERIES, query
 from lakemill.session import work_folder
@@ -101,12 +101,7 @@ def drop_report(t):
     copies = duplicates.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("n")).select(
         F.lit("lineitem").alias("table_name"), F.lit("duplicate primary key").alias("rule"), "n"
     )
-    orphans = Q.report_counts(dropped).filter("table_name <> 'TOTAL'")
-    report = orphans.unionByName(copies)
-    total = report.agg(F.sum("n").alias("n")).select(
-        F.lit("TOTAL").alias("table_name"), F.lit("").alias("rule"), "n"
-    )
-    return report.unionByName(total)
+    return with_total(Q.report_counts(dropped).unionByName(copies), ["table_name", "rule"])
 
 
 @query(
@@ -331,8 +326,7 @@ def dq_profile(t):
 )
 def exact_counts(t):
     counts = stack_counts({name: getattr(t, name) for name in COUNTED})
-    total = counts.agg(F.sum("n").alias("n")).select(F.lit("TOTAL").alias("table_name"), "n")
-    return counts.unionByName(total)
+    return with_total(counts, ["table_name"])
 
 
 @query(

@@ -202,7 +202,7 @@ def patient_visits(t):
 @query(
     "rpt_patient_billing",
     "SELECT c_custkey, c_name, COUNT(b.appointment_id) AS bills, CAST(SUM(amount) AS"
-    " DECIMAL(28,2)) AS total, ROUND(CAST(SUM(amount) AS DOUBLE) / COUNT(amount), 4) AS mean,"
+    " DECIMAL(28,2)) AS total, CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS mean,"
     " CAST(SUM(CASE WHEN b.status = 'O' THEN amount ELSE 0 END) AS DECIMAL(28,2)) AS unpaid"
     f" FROM customer LEFT JOIN ({X.APPOINTMENTS_SQL}) a ON c_custkey = patient_id"
     f" LEFT JOIN ({X.BILLS_SQL}) b ON a.appointment_id = b.appointment_id"
@@ -227,7 +227,7 @@ def patient_billing(t, unpaid_status="O"):
         "c_custkey", "c_name",
         F.coalesce("n", F.lit(0)).alias("bills"),
         C("s").cast("decimal(28,2)").alias("total"),
-        F.round(C("s").cast("double") / C("n"), 4).alias("mean"),
+        (C("s").cast("double") / C("n")).alias("mean"),
         F.coalesce("u", F.lit(0)).cast("decimal(28,2)").alias("unpaid"),
     )
 

@@ -209,7 +209,7 @@ def actor_info(t):
     lines = titles.select(
         "l_suppkey", F.concat_ws(": ", "p_type", "titles").alias("line")
     )
-    info = distinct_list(lines, ["l_suppkey"], "line", "; ", "film_info")
+    info = distinct_list(lines, ["l_suppkey"], "line", "; ", "film_info", is_distinct=True)
     return t.supplier.join(info, C("s_suppkey") == C("l_suppkey"), "left").select(
         "s_suppkey", "s_name", "film_info"
     )
@@ -321,14 +321,13 @@ ITEMS_SQL = truncated_sql(
     " ON o_orderkey = i.l_orderkey JOIN customer ON o_custkey = c_custkey",
 )
 def customer_order_products(t):
-    totals = t.lineitem.groupBy("l_orderkey").agg(
-        line_total_sum().alias("order_total")
-    )
     lines = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey"))
-    items = truncated_list(lines, ["l_orderkey"], "p_name", ITEM_ORDER, limit=60)
+    items = truncated_list(
+        lines, ["l_orderkey"], "p_name", ITEM_ORDER, limit=60,
+        also=[line_total_sum().alias("order_total")],
+    )
     return (
-        totals.join(items, "l_orderkey")
-        .join(t.orders, C("o_orderkey") == C("l_orderkey"))
+        items.join(t.orders, C("o_orderkey") == C("l_orderkey"))
         .join(t.customer, C("o_custkey") == C("c_custkey"))
         .select("o_orderkey", "o_orderstatus", "c_custkey", "c_name", "order_total", "items")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -20,7 +21,9 @@ def connect(sf_dir: str):
 
     con = duckdb.connect()
     for name in SCHEMAS:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+        path = Path(sf_dir) / f"{name}.parquet"
+        files = f"{path}/*.parquet" if path.is_dir() else str(path)
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
@@ -79,7 +82,7 @@ def main(argv):
     import __spark_entry__ as entry
     from lakemill.session import build_session
 
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("COMPARE_DIR", "/root/testdata/sf0.01")
     spark = build_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
