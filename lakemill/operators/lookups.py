@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.operators.relational import latest_per_key, row_count
@@ -52,15 +54,22 @@ def stock(inventory: DataFrame, rentals: DataFrame) -> DataFrame:
     return flagged.withColumn("in_stock", F.col("_out").isNull()).drop("_out")
 
 
-def held_by(inventory: DataFrame, rentals: DataFrame, *order: Column) -> DataFrame:
-    """Item, the customer of its latest open rental, and how many open rentals it has."""
-    open_rentals = rentals.filter("return_date IS NULL")
-    counts = open_rentals.groupBy("inventory_id").agg(row_count().alias("open_rentals"))
-    latest = latest_per_key(open_rentals, ["inventory_id"], order)
+def held_by(inventory: DataFrame, rentals: DataFrame, newest: Sequence[str]) -> DataFrame:
+    """Item, the customer of its latest open rental, and how many open rentals it has.
+
+    `newest` are the columns whose highest values mark the latest rental.
+    """
+    holders = (
+        rentals.filter("return_date IS NULL")
+        .groupBy("inventory_id")
+        .agg(
+            F.max_by("customer_id", F.struct(*newest)).alias("customer_id"),
+            row_count().alias("open_rentals"),
+        )
+    )
     return (
         inventory.select("inventory_id")
-        .join(latest.select("inventory_id", "customer_id"), "inventory_id", "left")
-        .join(counts, "inventory_id", "left")
+        .join(holders, "inventory_id", "left")
         .withColumn("open_rentals", F.coalesce("open_rentals", F.lit(0)))
     )
 

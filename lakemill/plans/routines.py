@@ -65,15 +65,14 @@ def inventory_in_stock(t):
     f"SELECT i.inventory_id, customer_id, coalesce(n, 0) AS open_rentals FROM ({X.INVENTORY_SQL}) i"
     " LEFT JOIN (SELECT inventory_id, o_custkey AS customer_id, COUNT(*) OVER (PARTITION BY"
     " inventory_id) AS n, row_number() OVER (PARTITION BY inventory_id ORDER BY rental_date DESC,"
-    f" rental_id, line) AS r FROM ({X.RENTALS_SQL}) JOIN orders ON rental_id = o_orderkey"
+    f" rental_id DESC, line DESC) AS r FROM ({X.RENTALS_SQL}) JOIN orders ON rental_id = o_orderkey"
     " WHERE return_date IS NULL) h ON i.inventory_id = h.inventory_id AND r = 1",
 )
 def inventory_held_by(t):
     rentals = X.rentals(t).join(t.orders, C("rental_id") == C("o_orderkey")).withColumnRenamed(
         "o_custkey", "customer_id"
     )
-    order = F.desc("rental_date"), F.asc("rental_id"), F.asc("line")
-    return L.held_by(X.inventory(t), rentals, *order)
+    return L.held_by(X.inventory(t), rentals, ["rental_date", "rental_id", "line"])
 
 
 def film_sql(test: str) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakemill.operators.relational import latest_per_key
+from lakemill.sources.sinks import write_by_period
 
 
 def read_files(
@@ -80,16 +81,36 @@ def sync_text(changes: DataFrame, output: str) -> None:
 COPY_SCHEMA = "key bigint, op string, text string, seq bigint, last_update timestamp"
 
 
-def read_copy(spark: SparkSession, output: str) -> DataFrame:
+def latest_changes(spark: SparkSession, output: str, snapshot: str | None) -> DataFrame:
+    rows = read_batches(spark, output, COPY_SCHEMA)
+    if snapshot is not None:
+        base = spark.read.schema(f"{COPY_SCHEMA}, batch bigint").parquet(snapshot)
+        done = base.agg(F.coalesce(F.max("batch"), F.lit(-1))).scalar()
+        rows = base.unionByName(rows.filter(F.col("batch") > done))
+    return latest_per_key(rows, ["key"], [F.desc("batch"), F.desc("seq")])
+
+
+def read_copy(spark: SparkSession, output: str, snapshot: str | None = None) -> DataFrame:
     """(key, text, last_update) after all batches: the latest change per key that is no delete.
 
-    One change per key and batch is stored, so the merge on read works on at most that.
+    One change per key and batch is stored, so the merge on read works on at most that. With a
+    snapshot only the batches after it are read.
     """
-    rows = read_batches(spark, output, COPY_SCHEMA)
-    latest = latest_per_key(rows, ["key"], [F.desc("batch"), F.desc("seq")])
+    latest = latest_changes(spark, output, snapshot)
     return latest.filter("op <> 'delete'").select("key", "text", "last_update")
 
 
+def take_snapshot(
+    spark: SparkSession, output: str, path: str, previous: str | None = None
+) -> None:
+    """Write the latest change per key, deletes included, so that readers can skip old batches.
+
+    The newest batch stands in the snapshot's own rows: a batch always stores the change that
+    was latest when it ran.
+    """
+    latest_changes(spark, output, previous).write.parquet(path)
+
+
 # ------------------------------------------------------------------------- derived rows
 
 
@@ -105,23 +126,11 @@ def derive(
 
 
 def partition_rows(stream: DataFrame, output: str, period: Column) -> DataFrame:
-    """Append arriving rows to their period's folder; a row of any age goes to its period.
-
-    The file sink commits whole batches in its own log, so a replay adds nothing.
-    """
-    job = (
-        stream.withColumn("period", period)
-        .writeStream.format("parquet")
-        .partitionBy("period")
-        .option("path", f"{output}/rows")
-        .option("checkpointLocation", f"{output}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return stream.sparkSession.read.schema(
-        StructType([*stream.schema.fields]).add("period", "string")
-    ).parquet(f"{output}/rows")
+    """Store arriving rows under their period's folder; a row of any age goes to its period.
+    Returns the stored rows with `period` and `batch`; both prune folders."""
+    run_batches(stream, output, lambda batch, folder: write_by_period(batch, folder, period))
+    stored = StructType([*stream.schema.fields]).add("batch", "long").add("period", "string")
+    return stream.sparkSession.read.schema(stored).parquet(f"{output}/rows")
 
 
 def incremental_sums(

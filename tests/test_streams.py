@@ -33,8 +33,14 @@ def test_copy_follows_inserts_updates_and_deletes(spark):
         ("delete", 2, None, None, 6), ("insert", 3, None, "c", 7),
     ], CHANGES)
     write(spark, source, [("insert", 2, None, "again", 8)], CHANGES)
+    snapshot, second = work_folder(spark, "snapshot"), work_folder(spark, "snapshot")
+    J.take_snapshot(spark, output, snapshot)
     J.sync_text(J.read_files(spark, source, CHANGES, 1), output)
     assert copy_of(spark, output) == {1: "A", 2: "again", 3: "c"}
+    J.take_snapshot(spark, output, second, snapshot)
+    for base in (snapshot, second):
+        rows = J.read_copy(spark, output, base).collect()
+        assert {r.key: r.text for r in rows} == {1: "A", 2: "again", 3: "c"}
 
 
 def test_replayed_batch_changes_nothing(spark):
