@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +52,17 @@ def search(df: DataFrame, key: str, text: str, query: Sequence[str]) -> DataFram
     test drops most documents before the whole-word test.
     """
     wanted = sorted({w.lower() for w in query})
-    found = df.select(key, F.lower(F.col(text)).alias("_t"))
-    for word in wanted:
-        found = found.filter(F.col("_t").contains(word))
-    for word in wanted:
-        found = found.filter(F.col("_t").rlike(whole_word(re.escape(word))))
+    low = F.lower(F.col(text))
+
+    def holds_all(t):
+        tests = [t.contains(w) for w in wanted]
+        tests += [t.rlike(whole_word(re.escape(w))) for w in wanted]
+        return reduce(lambda a, b: a & b, tests)
+
+    # The one-element array names the lower-cased text, so that all tests share one copy.
+    found = df.filter(F.exists(F.array(low), holds_all))
     any_word = whole_word("|".join(re.escape(w) for w in wanted))
-    hits = F.regexp_count("_t", F.lit(any_word))
+    hits = F.regexp_count(low, F.lit(any_word))
     return found.select(key, hits.alias("hits")).orderBy(F.desc("hits"), key)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.operators.joins import having
 from lakemill.operators.relational import latest_per_key
 
 
@@ -129,9 +130,7 @@ def blocked_deletes(
     parents: DataFrame, condition: Column, key: str, children: DataFrame, column: str
 ) -> DataFrame:
     """Rows a RESTRICT rule would not let go: they meet the condition and have children."""
-    return parents.filter(condition).join(
-        children, F.col(key) == F.col(column), "left_semi"
-    )
+    return having(parents.filter(condition), children, [key], [column])
 
 
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:

@@ -47,7 +47,7 @@ def truncated_list(
 
     A list of at most `limit` bytes holds at most limit / separator items, so only that many
     rows per group are ever brought together; the rest are only counted, map-side first.
-    `order` must identify a row within its group; `also` adds aggregates of the group.
+    `order` must settle the order of a group's items; `also` adds aggregates of the group.
     """
     step = len(separator.encode())
     if step == 0:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.functions.scalars import key_value
+from lakemill.operators.joins import lacking
 from lakemill.operators.relational import latest_per_key, row_count
 from lakemill.session import materialise
 
@@ -128,13 +129,9 @@ def check_foreign_key(
 ) -> DataFrame:
     """Child rows with a full key that no parent row has."""
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    keys = parent.select(
-        *[F.col(p).alias(f"_p{i}") for i, p in enumerate(parent_columns)]
-    )
-    match = reduce(
-        lambda a, b: a & b, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)]
-    )
-    return child.filter(present).join(keys, match, "left_anti")
+    names = [f"_p{i}" for i in range(len(parent_columns))]
+    keys = parent.select(*[F.col(p).alias(n) for p, n in zip(parent_columns, names)])
+    return lacking(child.filter(present), keys, columns, names)
 
 
 def violations(df: DataFrame, condition: Column) -> DataFrame:

@@ -215,15 +215,14 @@ def truncated_sql(source: str, keys: str, item: str, order: str, limit: int, nam
         "lineitem JOIN part ON l_partkey = p_partkey",
         "l_suppkey",
         "p_name",
-        "l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice",
+        "l_orderkey, l_linenumber, l_partkey",
         200,
         "items",
     ),
 )
 def agg_listagg_truncate(t):
     lines = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey"))
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity",
-             "l_extendedprice"]
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
     return truncated_list(lines, ["l_suppkey"], "p_name", order, limit=200)
 
 

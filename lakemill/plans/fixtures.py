@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakemill.operators.relational import money
+from lakemill.session import materialise
 
 C = F.col
 
@@ -74,10 +75,12 @@ DEPARTMENTS_SQL = (
 
 
 def departments(t):
-    return t.orders.select(
+    """Stored as the small table it is, so that its size is known to the joins."""
+    found = t.orders.select(
         F.substring("o_orderpriority", 1, 1).alias("dept_no"),
         F.substr("o_orderpriority", F.lit(3)).alias("dept_name"),
     ).distinct()
+    return materialise(found, "departments")
 
 
 MANAGERS_SQL = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakemill.operators.hierarchy import resolve_roots
+from lakemill.operators.joins import having, keep_all, lacking
 from lakemill.operators.periods import join_periods
 from lakemill.operators.relational import money, money_sum, with_group_values
 from lakemill.plans.registry import query
@@ -100,8 +101,8 @@ def join_composite_key(t):
     " WHERE o_totalprice > 450000) ON c_custkey = o_custkey",
 )
 def join_left(t):
-    large = t.orders.filter("o_totalprice > 450000")
-    return t.customer.join(large, C("c_custkey") == C("o_custkey"), "left").select(
+    large = t.orders.filter("o_totalprice > 450000").select("o_custkey", "o_orderkey")
+    return keep_all(t.customer.select("c_custkey"), large, ["c_custkey"], ["o_custkey"]).select(
         "c_custkey", "o_orderkey"
     )
 
@@ -116,7 +117,7 @@ def join_left(t):
 )
 def join_left_chain(t):
     return (
-        t.part.join(t.lineitem.filter("l_quantity >= 49"), C("p_partkey") == C("l_partkey"), "left")
+        keep_all(t.part, t.lineitem.filter("l_quantity >= 49"), ["p_partkey"], ["l_partkey"])
         .join(t.orders.filter("o_orderstatus = 'F'"), C("l_orderkey") == C("o_orderkey"), "left")
         .join(t.customer.filter("c_acctbal > 0"), C("o_custkey") == C("c_custkey"), "left")
         .join(t.nation, C("c_nationkey") == C("n_nationkey"), "left")
@@ -130,11 +131,9 @@ def join_left_chain(t):
     " RIGHT JOIN part ON l_partkey = p_partkey",
 )
 def join_right(t):
-    return (
-        t.lineitem.filter("l_quantity >= 50")
-        .join(t.part, C("l_partkey") == C("p_partkey"), "right")
-        .select("p_partkey", "l_orderkey")
-    )
+    return keep_all(
+        t.part, t.lineitem.filter("l_quantity >= 50"), ["p_partkey"], ["l_partkey"]
+    ).select("p_partkey", "l_orderkey")
 
 
 @query(
@@ -145,11 +144,10 @@ def join_right(t):
 )
 def join_right_chain(t):
     """Left join, then right join: the order decides which unmatched rows survive."""
-    stays = t.orders.filter("o_totalprice > 400000")
-    return (
-        t.supplier.join(stays, C("s_suppkey") == C("o_orderkey") % 500, "left")
-        .join(t.customer, C("o_custkey") == C("c_custkey"), "right")
-        .select("s_suppkey", "o_orderkey", "c_custkey")
+    stays = t.orders.filter("o_totalprice > 400000").withColumn("room", C("o_orderkey") % 500)
+    rooms = keep_all(t.supplier, stays, ["s_suppkey"], ["room"])
+    return keep_all(t.customer, rooms, ["c_custkey"], ["o_custkey"]).select(
+        "s_suppkey", "o_orderkey", "c_custkey"
     )
 
 
@@ -219,9 +217,7 @@ def join_cross_scalar(t):
 )
 def join_semi_in(t):
     rich = t.orders.filter("o_totalprice > 450000")
-    return t.customer.join(rich, C("c_custkey") == C("o_custkey"), "left_semi").select(
-        "c_custkey", "c_name"
-    )
+    return having(t.customer, rich, ["c_custkey"], ["o_custkey"]).select("c_custkey", "c_name")
 
 
 @query(
@@ -242,7 +238,8 @@ def join_semi_ordered_sub(t):
     " WHERE l.doc_id IS NULL",
 )
 def join_anti_null(t):
-    return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left_anti")
+    known = t.labels.select(C("doc_id").alias("known_id"))
+    return lacking(t.documents.select("doc_id", "lang"), known, ["doc_id"], ["known_id"])
 
 
 @query(
@@ -252,7 +249,7 @@ def join_anti_null(t):
 )
 def join_anti_orphan(t):
     parents = t.orders.filter("o_orderstatus = 'F'")
-    return t.lineitem.join(parents, C("l_orderkey") == C("o_orderkey"), "left_anti").select(
+    return lacking(t.lineitem, parents, ["l_orderkey"], ["o_orderkey"]).select(
         "l_orderkey", "l_linenumber"
     )
 

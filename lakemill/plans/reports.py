@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.operators.hotel import room_cost
+from lakemill.operators.joins import keep_all
 from lakemill.operators.relational import money, money_sum, on_days, row_count
 from lakemill.plans import fixtures as X
 from lakemill.plans.registry import query
@@ -116,7 +117,7 @@ def rpt_room_cost(t):
     cost = room_cost(
         C("room_number"), C("price"), C("standard"), C("adults"), C("check_in"), C("check_out")
     )
-    return stayed.join(rooms, C("l_partkey") == C("p_partkey"), "right").select(
+    return keep_all(rooms, stayed, ["p_partkey"], ["l_partkey"]).select(
         "p_partkey", "room_number", "l_orderkey", cost.cast("decimal(28,2)").alias("total")
     )
 

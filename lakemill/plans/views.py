@@ -302,7 +302,7 @@ def emp_details(t):
 # ------------------------------------------------------------------------ order views
 
 
-ITEM_ORDER = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+ITEM_ORDER = ["l_linenumber", "l_partkey"]
 ITEMS_SQL = truncated_sql(
     "lineitem JOIN part ON l_partkey = p_partkey",
     "l_orderkey",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,20 +147,18 @@ def insert_statements(
         return f"INSERT INTO {name} ({listed}) VALUES{lead}{body};"
 
     def join(batches):
-        import pandas as pd
-
         held: list[str] = []
-        for frame in batches:
-            held.extend(frame["value"])
+        for batch in batches:
+            held.extend(batch.column(0).to_pylist())
             full = len(held) - len(held) % size
             if full:
                 made = [statement(held[i : i + size]) for i in range(0, full, size)]
                 del held[:full]
-                yield pd.DataFrame({"value": made})
+                yield pa.RecordBatch.from_pydict({"value": made})
         if held:
-            yield pd.DataFrame({"value": [statement(held)]})
+            yield pa.RecordBatch.from_pydict({"value": [statement(held)]})
 
-    return df.select(values.alias("value")).mapInPandas(join, "value string")
+    return df.select(values.alias("value")).mapInArrow(join, "value string")
 
 
 def write_dump(
