@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.session import spread
+
 # English words left out of the index.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it",
@@ -25,7 +27,7 @@ LETTER = r"[\p{L}\p{N}]"
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token): one row per run of letters and digits, lower-cased, without stop words."""
     split = F.split(F.lower(F.col(text)), BREAK)
-    return df.select(key, F.explode(split).alias("token")).filter(
+    return spread(df.select(key, text)).select(key, F.explode(split).alias("token")).filter(
         (F.col("token") != "") & ~F.col("token").isin(*STOP_WORDS)
     )
 
@@ -60,10 +62,12 @@ def search(df: DataFrame, key: str, text: str, query: Sequence[str]) -> DataFram
         return reduce(lambda a, b: a & b, tests)
 
     # The one-element array names the lower-cased text, so that all tests share one copy.
-    found = df.filter(F.exists(F.array(low), holds_all))
+    found = spread(df.select(key, text)).filter(F.exists(F.array(low), holds_all))
     any_word = whole_word("|".join(re.escape(w) for w in wanted))
     hits = F.regexp_count(low, F.lit(any_word))
-    return found.select(key, hits.alias("hits")).orderBy(F.desc("hits"), key)
+    # A sort samples its input first; the rebalanced hits are sampled, not the texts again.
+    ranked = found.select(key, hits.alias("hits")).hint("rebalance")
+    return ranked.orderBy(F.desc("hits"), key)
 
 
 def search_index(index: DataFrame, key: str, query: Sequence[str]) -> DataFrame:

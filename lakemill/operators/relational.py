@@ -99,7 +99,7 @@ def with_total(counts: DataFrame, labels: Sequence[str], value: str = "n") -> Da
 
 
 def dense_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows of a Parquet read 1..N in source order, without sorting them.
+    """Number the rows of an unfiltered Parquet read 1..N in source order, without sorting them.
 
     A row's number is the count of rows in earlier files plus its index in its own file,
     both fixed by the files themselves: a lost task recomputes the same numbers.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemill.operators.relational import dense_row_numbers, money, row_count
 from lakemill.plans.registry import query
-from lakemill.session import SCHEMAS, work_folder
+from lakemill.session import SCHEMAS, spread, work_folder
 from lakemill.sources import delimited as D
 from lakemill.sources import dumps, sinks
 
@@ -152,7 +152,8 @@ def sql_dump_sink(t):
 )
 def line_rewrite(t):
     """Lines of all documents: two replacements in order, then blank and license lines dropped."""
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    texts = spread(t.documents.select("doc_id", "text"))
+    lines = texts.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     return dumps.rewrite_lines(
         lines, [("the", "THE"), ("[0-9]+", "#")], [r"^\s*$", "License"], column="line"
     )

@@ -30,7 +30,7 @@ from lakemill.operators.summaries import create_summary, read_summary, refresh_s
 from lakemill.plans import fixtures as X
 from lakemill.plans.aggregates import objects_per_supplier, truncated_sql
 from lakemill.plans.registry import query
-from lakemill.session import work_folder
+from lakemill.session import materialise, work_folder
 
 C = F.col
 PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
@@ -634,23 +634,46 @@ def product_rollup(t):
     return rolled(facts, ["p_brand", "p_type", "p_partkey"])
 
 
+CALENDAR_SQL = (
+    "year(l_shipdate) AS y, quarter(l_shipdate) AS q, month(l_shipdate) AS m,"
+    " CAST(l_shipdate AS DATE) AS d"
+)
+SHIFTED = f"(date_trunc('month', l_shipdate) + INTERVAL {FISCAL} MONTH)"
+FISCAL_SQL = (
+    f"year({SHIFTED}) AS y, quarter({SHIFTED}) AS q, month({SHIFTED}) AS m,"
+    " CAST(l_shipdate AS DATE) + CAST((7 - isodow(l_shipdate)) AS INTEGER) AS w,"
+    " CAST(l_shipdate AS DATE) AS d"
+)
+
+
 @query(
     "dim_time_rollup",
-    rollup_sql(
-        "y, q, m, d",
-        "lineitem",
-        PRICE,
-        "year(l_shipdate) AS y, quarter(l_shipdate) AS q, month(l_shipdate) AS m,"
-        " CAST(l_shipdate AS DATE) AS d",
-    ),
+    "SELECT 'calendar' AS hierarchy, y, q, m, CAST(NULL AS DATE) AS w, d, level, total FROM ("
+    + rollup_sql("y, q, m, d", "lineitem", PRICE, CALENDAR_SQL)
+    + ") UNION ALL SELECT 'fiscal', y, q, m, w, d, level, total FROM ("
+    + rollup_sql("y, q, m, w, d", "lineitem", PRICE, FISCAL_SQL)
+    + ")",
 )
 def time_rollup(t):
-    day = "l_shipdate"
-    facts = t.lineitem.select(
-        F.year(day).alias("y"), F.quarter(day).alias("q"), F.month(day).alias("m"),
-        F.to_date(day).alias("d"), "l_extendedprice",
-    )
-    return rolled(facts, ["y", "q", "m", "d"], money_sum("l_extendedprice"))
+    """Totals along both calendars, from one pass that sums the facts per day."""
+    days = materialise(
+        t.lineitem.groupBy(F.to_date("l_shipdate").alias("d")).agg(
+            money_sum("l_extendedprice").alias("v")
+        ),
+        "days",
+    )
+    shifted = F.add_months(F.trunc("d", "MM"), FISCAL)
+    parts = {}
+    for name, day, levels in (
+        ("calendar", C("d"), ["y", "q", "m", "d"]),
+        ("fiscal", shifted, ["y", "q", "m", "w", "d"]),
+    ):
+        facts = days.select(
+            F.year(day).alias("y"), F.quarter(day).alias("q"), F.month(day).alias("m"),
+            F.next_day(F.date_sub("d", 1), "SUN").alias("w"), "d", "v",
+        )
+        parts[name] = rolled(facts, levels).withColumn("hierarchy", F.lit(name))
+    return parts["fiscal"].unionByName(parts["calendar"], allowMissingColumns=True)
 
 
 @query(

@@ -78,6 +78,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work per row on a read of few splits.
+
+    A read with at least as many splits as cores, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The tables of one data folder, read on first use: `t.orders`, `t.lineitem`, ..."""
 
