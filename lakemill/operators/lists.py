@@ -131,3 +131,24 @@ def counted_list(
     )
     texts = F.transform(entries, lambda p: F.concat(p["v"], F.lit(" x"), p["c"].cast("string")))
     return counted.groupBy(*keys).agg(F.array_join(texts, separator).alias(name))
+
+
+def entity_list(
+    df: DataFrame,
+    keys: Sequence[str],
+    item: str,
+    ident: str,
+    separator: str = ", ",
+    name: str = "items",
+) -> DataFrame:
+    """Names of the distinct entities per group, sorted; two entities of one name are both listed.
+
+    Copies of an entity are dropped map-side first. Groups of NULLs only give NULL.
+    """
+    entries = df.select(*keys, F.struct(F.col(item).alias("v"), F.col(ident).alias("id")).alias("_e"))
+    present = F.when(F.col("_e.v").isNotNull(), F.col("_e"))
+    listed = F.sort_array(F.collect_list(present))
+    text = F.array_join(F.transform(listed, lambda e: e["v"]), separator)
+    return entries.distinct().groupBy(*keys).agg(
+        F.when(F.size(listed) > 0, text).alias(name)
+    )

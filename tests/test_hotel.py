@@ -1,13 +1,13 @@
 """Hotel reports against rows written down by hand."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakemill.operators.changes import delete_cascade
-from lakemill.operators.hotel import room_cost
-from lakemill.operators.relational import on_days, row_count
+from lakemill.plans import stays
 
 # Rooms (number, standard occupancy, price, jacuzzi).
 ROOMS = [
@@ -57,82 +57,97 @@ COSTS = [
 ]
 
 
+
+
 @pytest.fixture(scope="module")
 def hotel(spark):
-    rooms = spark.createDataFrame(ROOMS, "room int, standard int, price double, jacuzzi boolean")
-    rooms = rooms.withColumn("price", F.col("price").cast("decimal(10,2)"))
-    stays = spark.createDataFrame(
+    """The hotel's tables; guest 8 and all that refers to that guest is deleted."""
+    rooms = spark.createDataFrame(
+        ROOMS, "roomnumber int, standardoccupancy int, price double, hasjacuzzi boolean"
+    ).select(
+        "roomnumber", "standardoccupancy", F.col("price").cast("decimal(10,2)").alias("baseprice"),
+        F.col("hasjacuzzi").cast("int").alias("hasjacuzzi"),
+    )
+    rows = spark.createDataFrame(
         STAYS,
-        "stay int, guest int, stay_room int, adults int, children int, check_in string,"
-        " check_out string, total double",
-    ).withColumns(
-        {c: F.col(c).cast("timestamp_ntz") for c in ("check_in", "check_out")}
-    ).withColumn("total", F.col("total").cast("decimal(10,2)"))
-    guests = stays.select("guest").distinct()
+        "reservationid int, guestid int, roomnumber int, adults int, children int, cin string,"
+        " cout string, total double",
+    )
+    stay = rows.select(
+        "reservationid", "adults", "children",
+        F.col("cin").cast("timestamp_ntz").alias("checkindate"),
+        F.col("cout").cast("timestamp_ntz").alias("checkoutdate"),
+        F.col("total").cast("decimal(10,2)").alias("total"),
+    )
+    guests = rows.select("guestid").distinct().select(
+        "guestid",
+        F.concat(F.lit("First"), "guestid").alias("firstname"),
+        F.concat(F.lit("Last"), F.lpad(F.col("guestid").cast("string"), 2, "0")).alias("lastname"),
+        F.format_string("(291) 55%02d", "guestid").alias("phone"),
+    )
+    link = rows.select(F.col("guestid").alias("g"), F.col("reservationid").alias("r"))
+    placed = rows.select(F.col("roomnumber").alias("n"), F.col("reservationid").alias("p"))
     left = delete_cascade(
-        {"guest": guests, "stay": stays.withColumnRenamed("guest", "of_guest")},
+        {"guest": guests, "link": link, "stay": stay, "placed": placed},
         "guest",
-        F.col("guest") == 8,
-        [("stay", "of_guest", "guest", "guest")],
+        F.col("guestid") == 8,
+        [
+            ("link", "g", "guest", "guestid"), ("stay", "reservationid", "link", "r"),
+            ("placed", "p", "stay", "reservationid"),
+        ],
     )
-    return rooms, left["stay"].withColumnRenamed("of_guest", "guest")
-
-
-def costs(hotel, fixed):
-    rooms, stays = hotel
-    joined = stays.join(rooms, F.col("stay_room") == F.col("room"), "right")
-    return joined.withColumn(
-        "cost",
-        room_cost(
-            F.col("room"), F.col("price"), F.col("standard"), F.col("adults"),
-            F.col("check_in"), F.col("check_out"), fixed,
-        ),
+    return SimpleNamespace(
+        room=rooms,
+        guest=left["guest"],
+        reservation=left["stay"],
+        guestreservation=left["link"].toDF("guestid", "reservationid"),
+        roomreservation=left["placed"].toDF("roomnumber", "reservationid"),
     )
 
 
 def test_room_cost_as_written(hotel):
-    rows = costs(hotel, False).select("room", "stay", F.col("cost").cast("double"))
+    rows = stays.room_cost(hotel).withColumn("total", F.col("total").cast("double"))
     key = lambda r: (r[0], r[1] or 0)
     assert sorted((tuple(r) for r in rows.collect()), key=key) == sorted(COSTS, key=key)
 
 
 def test_fixed_cost_is_the_stored_total(hotel):
-    rows = costs(hotel, True).filter("stay IS NOT NULL")
-    assert rows.filter("cost <> total").count() == 0
-    assert rows.count() == 24
+    rows = stays.room_cost(hotel, fixed=True).filter("reservationid IS NOT NULL")
+    stored = hotel.reservation.select("reservationid", F.col("total").alias("stored"))
+    joined = rows.join(stored, "reservationid")
+    assert joined.count() == 24
+    assert joined.filter("total <> stored").count() == 0
 
 
 def test_stays_ending_in_july(hotel):
-    rows = hotel[1].filter(on_days("check_out", "2023-07-01", "2023-07-31"))
-    got = {(r.guest, r.stay_room, r.check_in.date()) for r in rows.collect()}
-    assert got == {
-        (1, 205, dt.date(2023, 6, 28)), (9, 204, dt.date(2023, 7, 13)),
-        (10, 401, dt.date(2023, 7, 18)), (3, 303, dt.date(2023, 7, 28)),
+    got = stays.ending_in(hotel, "2023-07-01", "2023-07-31").collect()
+    assert {(r.firstname, r.roomnumber, r.checkindate.date()) for r in got} == {
+        ("First1", 205, dt.date(2023, 6, 28)), ("First9", 204, dt.date(2023, 7, 13)),
+        ("First10", 401, dt.date(2023, 7, 18)), ("First3", 303, dt.date(2023, 7, 28)),
     }
 
 
 def test_jacuzzi(hotel):
-    rooms, stays = hotel
-    rows = stays.join(rooms.filter("jacuzzi"), F.col("stay_room") == F.col("room"))
-    assert sorted(r.stay_room for r in rows.collect()) == [
+    assert sorted(r.roomnumber for r in stays.with_jacuzzi(hotel).collect()) == [
         201, 203, 203, 205, 207, 301, 301, 303, 305, 305, 307
     ]
 
 
 def test_guest_rooms(hotel):
-    rows = hotel[1].filter("guest = 2").select("stay_room", F.expr("adults + children AS people"))
+    rows = stays.guest_rooms(hotel, 2).select("roomnumber", "totalpeople")
     assert sorted(tuple(r) for r in rows.collect()) == [(206, 2), (208, 2), (301, 4), (308, 1)]
 
 
 def test_large_parties_in_april(hotel):
-    april = on_days("check_in", "2023-04-01", "2023-04-30") | on_days(
-        "check_out", "2023-04-01", "2023-04-30"
-    )
-    assert hotel[1].filter("adults + children > 2").filter(april).count() == 0
+    assert stays.large_parties(hotel, "2023-04-01", "2023-04-30").count() == 0
+    assert stays.large_parties(hotel, "2023-03-01", "2023-03-31").count() == 3
 
 
-def test_stays_per_guest(hotel):
-    rows = hotel[1].groupBy("guest").agg(row_count().alias("n")).collect()
-    assert {r.guest: r.n for r in rows} == {
-        1: 2, 2: 4, 3: 3, 4: 2, 5: 2, 6: 2, 7: 1, 9: 2, 10: 2, 11: 2, 12: 2
-    }
+def test_reservations_per_guest(hotel):
+    rows = [tuple(r) for r in stays.reservations_per_guest(hotel).collect()]
+    assert [r[2] for r in rows] == [4, 3, 2, 2, 2, 2, 2, 2, 2, 2, 1]
+    assert rows[0] == ("First2", "Last02", 4) and rows[-1] == ("First7", "Last07", 1)
+
+
+def test_guest_by_phone(hotel):
+    assert [r.guestid for r in stays.guests_by_phone(hotel, "(291) 5502").collect()] == [2]
