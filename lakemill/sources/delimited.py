@@ -30,10 +30,12 @@ def read_named_csv(
     path: str,
     columns: Sequence[str],
     rename: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Text columns by header name, lower-cased and renamed; NULL tokens are NULL; a column the
-    file lacks is NULL. Spark removes a byte-order mark."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"')
+    file lacks is NULL. Spark removes a byte-order mark. Quoted values with line breaks need
+    `multi_line`, which reads each file in one task."""
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     rename = rename or {}
     lower = {c: c.strip().lower() for c in raw.columns}
     found = {rename.get(low, low): c for c, low in lower.items()}

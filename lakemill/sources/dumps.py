@@ -16,7 +16,12 @@ _SINGLE = r"'(?:[^'\\]++|''|\\.)*+'"
 _DOUBLE = r'"(?:[^"\\]++|""|\\.)*+"'
 _TUPLE = rf"(?s)\(((?:[^'\"()]++|{_SINGLE}|{_DOUBLE})*+)\)"
 _VALUE = rf"(?s)\s*({_SINGLE}|{_DOUBLE}|[^,]*)\s*(?:,|$)"
-_HEAD = r"(?is)^\s*INSERT\s+INTO\s+[`\"\[]?(\w+)[`\"\]]?\s*(?:\(([^)]*)\))?\s*VALUES"
+# Comments and batch words may stand between two statements.
+_BETWEEN = r"(?:\s++|--[^\n]*+|#[^\n]*+|/\*.*?\*/;?|GO\b)*+"
+_HEAD = (
+    rf"(?is)^{_BETWEEN}INSERT\s+INTO\s+"
+    r"[`\"\[]?(\w+)[`\"\]]?\s*(?:\(([^)]*)\))?\s*VALUES"
+)
 
 # Statement sizes of the target dialects.
 BATCH = {"oracle": 100}
@@ -38,6 +43,15 @@ def unquote(token: Column) -> Column:
     )
 
 
+def whole_tuples(body: Column) -> Column:
+    """The tuples of a VALUES clause; an error if anything else is left between them."""
+    rest = F.regexp_replace(body, _TUPLE, "")
+    message = F.concat(F.lit("not a list of tuples: "), F.substring(body, 1, 200))
+    return F.when(
+        rest.rlike(r"^[\s,;]*$"), F.regexp_extract_all(body, F.lit(_TUPLE))
+    ).otherwise(F.raise_error(message).cast("array<string>"))
+
+
 def read_inserts(
     spark: SparkSession,
     path: str,
@@ -50,6 +64,8 @@ def read_inserts(
     The file is split at statement ends, so one large dump is read by many tasks and no
     statement list is held. A statement's own column list decides where a value goes;
     a column it lacks is NULL; without a list the values come in schema order.
+    A statement that is not made of whole tuples fails the load: no row is lost unseen, not
+    even where a text holds the statement end itself (name a longer one then).
     """
     target = T.StructType.fromDDL(schema)
     statements = spark.read.text(path, lineSep=statement_end)
@@ -69,7 +85,7 @@ def read_inserts(
     tuples = (
         head.withColumn("names", names)
         .select(F.when(F.col("c") == "", in_order).otherwise(listed).alias("at"), "body")
-        .select("at", F.explode(F.regexp_extract_all("body", F.lit(_TUPLE))).alias("tuple"))
+        .select("at", F.explode(whole_tuples(F.col("body"))).alias("tuple"))
     )
     # Where the tuple ends the pattern also matches an empty rest; positions ignore it.
     texts = F.transform(F.regexp_extract_all("tuple", F.lit(_VALUE)), unquote)
