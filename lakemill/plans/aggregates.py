@@ -276,10 +276,10 @@ def agg_grouping_id(t):
 
 @query(
     "agg_rollup_hierarchy",
-    "SELECT year(l_shipdate) AS y, quarter(l_shipdate) AS q, month(l_shipdate) AS m,"
-    f" CAST(SUM({PRICE}) AS DECIMAL(28,2)) AS total, 3 - GROUPING(year(l_shipdate))"
-    " - GROUPING(quarter(l_shipdate)) - GROUPING(month(l_shipdate)) AS level FROM lineitem"
-    " GROUP BY ROLLUP (year(l_shipdate), quarter(l_shipdate), month(l_shipdate))",
+    f"SELECT y, q, m, CAST(SUM({PRICE}) AS DECIMAL(28,2)) AS total, CAST(3 - GROUPING(y)"
+    " - GROUPING(q) - GROUPING(m) AS INTEGER) AS level FROM (SELECT *, CAST(year(l_shipdate) AS"
+    " INTEGER) AS y, CAST(quarter(l_shipdate) AS INTEGER) AS q, CAST(month(l_shipdate) AS INTEGER)"
+    " AS m FROM lineitem) GROUP BY ROLLUP (y, q, m)",
 )
 def agg_rollup_hierarchy(t):
     d = "l_shipdate"
@@ -325,17 +325,19 @@ def objects_per_supplier(t):
 
 @query(
     "agg_array",
-    "SELECT l_suppkey, list(DISTINCT p_brand ORDER BY p_brand) AS brands FROM lineitem"
-    " JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey",
+    "SELECT l_suppkey, len(list(DISTINCT p_brand)) AS n, to_json(list(DISTINCT p_brand ORDER BY"
+    " p_brand))::VARCHAR AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey",
 )
 def agg_array(t):
+    """The array is shown as JSON text."""
     pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
     return (
         pairs.join(t.part, C("l_partkey") == C("p_partkey"))
         .select("l_suppkey", "p_brand")
         .distinct()
         .groupBy("l_suppkey")
-        .agg(F.sort_array(F.collect_list("p_brand")).alias("brands"))
+        .agg(F.sort_array(F.collect_list("p_brand")).alias("a"))
+        .select("l_suppkey", F.size("a").cast("bigint").alias("n"), F.to_json("a").alias("brands"))
     )
 
 

@@ -38,7 +38,8 @@ def fn_upper_lower_substr(t):
 
 @query(
     "fn_length",
-    "SELECT doc_id, length(text) AS chars, strlen(text) AS bytes FROM documents",
+    "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(strlen(text) AS INTEGER) AS bytes"
+    " FROM documents",
 )
 def fn_length(t):
     return t.documents.select(

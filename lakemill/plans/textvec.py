@@ -40,7 +40,7 @@ def txt_search(t):
 @query(
     "vec_top_k",
     "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label"
-    " FROM embeddings), q AS (SELECT label AS query_id, arg_min(e, vec_id) AS q FROM v GROUP BY"
+    " FROM embeddings), q AS (SELECT CAST(label AS BIGINT) AS query_id, arg_min(e, vec_id) AS q FROM v GROUP BY"
     " label) SELECT query_id, vec_id, ROUND(score, 5) AS score FROM (SELECT query_id, vec_id,"
     " list_cosine_similarity(e, q) AS score, row_number() OVER (PARTITION BY query_id ORDER BY"
     " list_cosine_similarity(e, q) DESC, vec_id) AS r FROM v, q) WHERE r <= 10",

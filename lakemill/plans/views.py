@@ -635,12 +635,13 @@ def product_rollup(t):
 
 
 CALENDAR_SQL = (
-    "year(l_shipdate) AS y, quarter(l_shipdate) AS q, month(l_shipdate) AS m,"
-    " CAST(l_shipdate AS DATE) AS d"
+    "CAST(year(l_shipdate) AS INTEGER) AS y, CAST(quarter(l_shipdate) AS INTEGER) AS q,"
+    " CAST(month(l_shipdate) AS INTEGER) AS m, CAST(l_shipdate AS DATE) AS d"
 )
 SHIFTED = f"(date_trunc('month', l_shipdate) + INTERVAL {FISCAL} MONTH)"
 FISCAL_SQL = (
-    f"year({SHIFTED}) AS y, quarter({SHIFTED}) AS q, month({SHIFTED}) AS m,"
+    f"CAST(year({SHIFTED}) AS INTEGER) AS y, CAST(quarter({SHIFTED}) AS INTEGER) AS q,"
+    f" CAST(month({SHIFTED}) AS INTEGER) AS m,"
     " CAST(l_shipdate AS DATE) + CAST((7 - isodow(l_shipdate)) AS INTEGER) AS w,"
     " CAST(l_shipdate AS DATE) AS d"
 )
