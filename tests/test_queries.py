@@ -4,10 +4,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from lakemill.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = catalogue.oracles()
 
 
 @pytest.fixture(scope="module")
