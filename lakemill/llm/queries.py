@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import line_dedup
+from lakemill.llm import bpe, decontaminate, fertility, line_dedup
 from lakemill.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,55 @@ def query(name: str, sql: str | None = None):
 def op10_line_dedup(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return line_dedup.line_digests(docs, line_dedup.keep_bitmaps(docs))
+
+
+@query("op5_tokeniser_fertility")
+def op5_tokeniser_fertility(spark, sf_dir):
+    return fertility.measure_quality(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_benchmark_decontamination",
+    r"""
+    WITH doc_words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), item_words AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), windows AS (
+        SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS run
+        FROM (SELECT item_id, w, least(len(w), 10) AS size,
+                     unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+              FROM item_words WHERE len(w) > 0)
+    ), sizes AS (SELECT DISTINCT size FROM windows
+    ), places AS (
+        SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS run
+        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+              FROM doc_words, sizes WHERE len(w) >= size)
+    ), matches AS (
+        SELECT doc_id, size, i, item_id FROM places JOIN windows USING (run, size)
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM matches) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM matches) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           n_hit IS NOT NULL AS contaminated
+    FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.leak_report(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    )
+
+
+@query("op9_bpe_backtracking")
+def op9_bpe_backtracking(spark, sf_dir):
+    return bpe.digests(bpe.encode(load(spark, sf_dir, "documents")))
