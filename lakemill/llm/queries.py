@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import bpe, decontaminate, fertility, line_dedup
+from lakemill.llm import bpe, decontaminate, fertility, line_dedup, ngram_join
 from lakemill.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,39 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_digests(docs, line_dedup.keep_bitmaps(docs))
 
 
+@query(
+    "op3_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ')
+               || CASE WHEN len(w) < 5 THEN ' ' ELSE '' END AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i
+              FROM words WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), common AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+        FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+        WHERE 100 * c >= 75 * (p.n + q.n - c)
+    ), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+    ), reach AS (
+        SELECT a AS doc_id, b AS other FROM both_ways
+        UNION
+        SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+    ), least_of AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+    """,
+)
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.similar_documents(load(spark, sf_dir, "documents"))
+
+
 @query("op5_tokeniser_fertility")
 def op5_tokeniser_fertility(spark, sf_dir):
     return fertility.measure_quality(load(spark, sf_dir, "documents"))
