@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import bpe, decontaminate, fertility, line_dedup, ngram_join
-from lakemill.session import load
+from lakemill.llm import bpe, decontaminate, fertility, line_dedup, ngram_join, token_store
+from lakemill.session import load, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,10 @@ def op7_benchmark_decontamination(spark, sf_dir):
 @query("op9_bpe_backtracking")
 def op9_bpe_backtracking(spark, sf_dir):
     return bpe.digests(bpe.encode(load(spark, sf_dir, "documents")))
+
+
+@query("op4_repair_token_files")
+def op4_repair_token_files(spark, sf_dir):
+    path = work_folder(spark, "token_files")
+    token_store.write_tokens(load(spark, sf_dir, "documents"), path)
+    return token_store.token_digests(spark, path)
