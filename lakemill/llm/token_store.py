@@ -10,6 +10,7 @@ take two bytes. Shards are rows of Parquet files, which Spark writes and commits
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.bpe import Cache, byte_symbols
+from lakemill.llm.bpe import byte_symbols
 from lakemill.llm.common import batch, buffers, slices
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,15 +28,21 @@ END_ID = 2
 SHARD_IDS = 2_000_000
 FIRST_RULE = 50_304  # above all ids of the vocabulary; rules end below 2**16
 MOST_RULES = 2**16 - FIRST_RULE
-ROUNDS = 12
+ROUNDS = 6
 LEAST_COUNT = 12  # occurrences that a rule needs
 
 # The splitting pattern of byte-level vocabularies (a fixed value of the file's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# The same for texts without neighbouring white space, where it needs no look-ahead.
+SIMPLE = PATTERN.replace(r"\s+(?!\S)|", "")
+_RUNS = re.compile(r"\s\s")
+
+
 class ByteEncoder:
-    """Ids of texts as the library gives them; runs between single spaces are cached."""
+    """Ids of texts as the tokenizers library gives them, by the faster of the libraries: the
+    vocabulary's ids are the ranks of its merges. Texts with special tokens go to the library."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -49,29 +56,24 @@ class ByteEncoder:
             left, right = pair if not isinstance(pair, str) else pair.split(" ")
             if vocab[left + right] != 256 + n:
                 raise ValueError("ids of the vocabulary do not follow its merges")
-        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.any, self.simple = (
+            tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+            for p in (PATTERN, SIMPLE)
+        )
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t["content"].encode("utf-8") for t in spec["added_tokens"]]
-        self.units = Cache(self._spaced)
-
-    def _spaced(self, unit: bytes) -> bytes:
-        return self._plain((b" " + unit).decode("utf-8", "replace"))
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            ids = self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.array(ids, dtype="<u4").tobytes()
-        if b"  " in text or text.endswith(b" "):  # runs of white space are split by what follows
-            return self._plain(text.decode("utf-8", "replace"))
-        first, *units = text.split(b" ")
-        return self._plain(first.decode("utf-8", "replace")) + b"".join(
-            map(self.units.__getitem__, units)
-        )
+        self.special = [t["content"] for t in spec["added_tokens"]]
+
+    def encode(self, text: bytes) -> np.ndarray:
+        plain = text.decode("utf-8", "replace")
+        if any(s in plain for s in self.special):
+            ids = self.library.encode(plain, add_special_tokens=False).ids
+        elif _RUNS.search(plain):
+            ids = self.any.encode_ordinary(plain)
+        else:
+            ids = self.simple.encode_ordinary(plain)
+        return np.array(ids, dtype="<u4")
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -100,22 +102,27 @@ def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndar
         slot[barred] = 0
         counts = np.bincount(slot, minlength=1 << 20)
         counts[0] = 0
-        # slots hold all pairs that fall in them: a bound from above, counted exactly next
+        # a slot may hold several pairs, so this bounds a pair's count from above
         share = max(4096, (MOST_RULES - known) // 2)
-        bar = max(LEAST_COUNT, int(np.partition(counts, -share)[-share]))
+        above = np.cumsum(np.bincount(np.minimum(counts, 65_535))[::-1])  # slots by least count
+        bar = max(LEAST_COUNT, len(above) - 1 - int(np.searchsorted(above, share)))
         often = np.flatnonzero((counts >= bar)[slot])
         if not len(often):
             break
-        pairs, inverse, exact = np.unique(keys[often], return_inverse=True, return_counts=True)
+        places_of, own = slot[often], keys[often]
+        pair = np.zeros(1 << 20, dtype=np.uint64)  # one pair per slot, likely its most frequent
+        pair[places_of] = own
+        same = pair[places_of] == own
+        often, places_of = often[same], places_of[same]
+        exact = np.bincount(places_of, minlength=1 << 20)
         good = np.flatnonzero(exact >= bar)
         if len(good) > MOST_RULES - known:
             good = good[np.argsort(-exact[good], kind="stable")[: MOST_RULES - known]]
-            good.sort()
         if not len(good):
             break
-        name = np.full(len(pairs), -1, dtype=np.int64)
-        name[good] = np.arange(len(good)) + known
-        named = name[inverse]
+        name = np.full(1 << 20, -1, dtype=np.int32)
+        name[good] = np.arange(known, known + len(good))
+        named = name[places_of]
         at, named = often[named >= 0], named[named >= 0]
         run = np.concatenate([[True], np.diff(at) > 1])  # overlapping pairs: every other one
         start = at[np.flatnonzero(run)][np.cumsum(run) - 1]
@@ -126,7 +133,7 @@ def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndar
         keep[at + 1] = False
         before = len(symbols)
         symbols, places = symbols[keep], places[keep]
-        new = pairs[good]
+        new = pair[good]
         rules.append(
             np.stack([new >> np.uint64(16), new & np.uint64(0xFFFF)], axis=1).astype(np.uint16)
         )
@@ -191,23 +198,23 @@ SHARD_TYPES = (
 
 
 def _shards(path: str, end_id: int, shard_ids: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         shard = TaskContext.get().partitionId()
-        part = before = size = 0
+        part = before = 0
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        ends = [0]
 
         def packed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            ends = np.cumsum([len(x) // 4 for x in held])
+            ids = np.concatenate(held)
             symbols, rules, places = compress(ids, end_id)
             return batch(
                 _SHARDS, [shard], [part], [before], [len(ids)], [docs],
-                [ends.astype(np.uint32).tobytes()],
-                [np.searchsorted(places, ends).astype(np.uint32).tobytes()],
+                [np.array(ends[1:], np.uint32).tobytes()],
+                [np.searchsorted(places, ends[1:]).astype(np.uint32).tobytes()],
                 [rules.tobytes()], [expansion_lengths(rules).tobytes()], [symbols.tobytes()],
             )
 
@@ -216,15 +223,15 @@ def _shards(path: str, end_id: int, shard_ids: int):
             numbers = b["doc_id"].to_pylist()
             for first, last in slices(bounds):
                 for i in range(first, last):
-                    ids = encoder.encode(data[bounds[i] : bounds[i + 1]].tobytes()) + end
+                    ids = encoder.encode(data[bounds[i] : bounds[i + 1]].tobytes())
                     docs.append(numbers[i])
-                    held.append(ids)
-                    size += len(ids) // 4
-                    if size >= shard_ids:
+                    held += [ids, end]
+                    ends.append(ends[-1] + len(ids) + 1)
+                    if ends[-1] >= shard_ids:
                         yield packed()
-                        part, before, size = part + 1, before + size, 0
-                        docs, held = [], []
-        if held:
+                        part, before = part + 1, before + ends[-1]
+                        docs, held, ends = [], [], [0]
+        if docs:
             yield packed()
 
     return rows
