@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import bpe, decontaminate, fertility, line_dedup, ngram_join, token_store
+from pyspark.sql import functions as F
+
+from lakemill.llm import (
+    bpe,
+    decontaminate,
+    fertility,
+    line_dedup,
+    ngram_join,
+    pii,
+    revisits,
+    token_store,
+    url_templates,
+)
 from lakemill.session import load, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +153,136 @@ def op4_repair_token_files(spark, sf_dir):
     path = work_folder(spark, "token_files")
     token_store.write_tokens(load(spark, sf_dir, "documents"), path)
     return token_store.token_digests(spark, path)
+
+
+URL_RULES = {
+    "net/": "block",
+    "example.net/en/": "allow",
+    "example.com/de/": "block",
+    "org/fr/": "allow",
+}
+
+
+@query("op1_url_templates")
+def op1_url_templates(spark, sf_dir):
+    """A page's label is that of the document whose number ends its path: bad is quality 0."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    labels = load(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") == 0).cast("int").alias("bad")
+    )
+    number = F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    numbered = pages.select("page_id", F.nullif(number, F.lit("")).cast("long").alias("doc_id"))
+    marked = numbered.join(labels, "doc_id").select("page_id", "bad")
+    return url_templates.judge_urls(pages, marked, URL_RULES)
+
+
+@query("op2_information_pii")
+def op2_information_pii(spark, sf_dir):
+    return pii.private_report(load(spark, sf_dir, "documents"))
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Captures made from pages by their number: each page's response; a revisit of it an hour
+    later under another form of the url; for every third page one with another entity tag; for
+    every fourth a second response with another body and a revisit of that; for every fifth a
+    revisit before the first response."""
+    body = F.coalesce("html", F.lit(""))
+    at = F.lit(1_700_000_000) + F.col("page_id") % 86_400
+    headers = F.create_map(
+        F.lit("Content-Type"), F.lit("text/html"),
+        F.lit("Content-Length"), F.length(body).cast("string"),
+        F.lit("Date"), at.cast("string"),
+        F.lit("Cache-Control"), F.lit("max-age=60"),
+    )
+    fresh = F.create_map(
+        F.lit("content-length"), F.lit("0"), F.lit("date"), (at + 3600).cast("string"),
+        F.lit("X-Served"), F.lit("cache"),
+    )
+
+    def one(i, when, url, kind, delay, tag, digest, head):
+        return F.when(
+            when,
+            F.struct(
+                (F.col("page_id") * 8 + i).alias("record_id"),
+                url.alias("url"),
+                (at + delay).alias("ts"),
+                F.lit(kind).alias("kind"),
+                tag.alias("etag"),
+                F.lit(None).cast("string").alias("last_modified"),
+                digest.alias("digest"),
+                head.alias("headers"),
+            ),
+        )
+
+    tag, other = F.md5(body), F.md5(F.concat(body, F.lit("x")))
+    none = F.lit(None).cast("string")
+    url, page = F.col("url"), F.col("page_id")
+    variant = F.concat(F.regexp_replace("url", "^https?:", "http:"), F.lit("#again"))
+    every = F.array(
+        one(0, page >= 0, url, "response", 0, tag, F.sha1(body), headers),
+        one(1, page >= 0, variant, "revisit", 3600, F.concat(F.lit("W/"), tag), none, fresh),
+        one(2, page % 3 == 0, url, "revisit", 5000, other, none, fresh),
+        one(3, page % 4 == 0, url, "response", 7200, other, F.sha1(F.concat(body, F.lit("x"))), headers),
+        one(4, page % 4 == 0, url, "revisit", 9000, none, F.sha1(F.concat(body, F.lit("x"))), fresh),
+        one(5, page % 5 == 0, url, "revisit", -100, tag, none, fresh),
+    )
+    return pages.select(F.explode(every).alias("c")).where("c IS NOT NULL").select("c.*")
+
+
+_HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(bare, '^.*?://(?:[^/?@]*@)?([^/?]*)', 1, 's')), ':(80|443)$', ''), '^www\.', '')"
+
+
+@query(
+    "op8_warc_revisits",
+    rf"""
+    WITH p AS (
+        SELECT page_id AS g, url, coalesce(html, '') AS body,
+               1700000000 + page_id % 86400 AS t FROM pages
+    ), captures AS (
+        SELECT g * 8 AS record_id, url, t AS ts, 'response' AS kind, md5(body) AS etag,
+               sha1(body) AS digest, body, t AS own FROM p
+        UNION ALL SELECT g * 8 + 1, regexp_replace(url, '^https?:', 'http:') || '#again', t + 3600,
+               'revisit', md5(body), NULL, body, t FROM p
+        UNION ALL SELECT g * 8 + 2, url, t + 5000, 'revisit', md5(body || 'x'), NULL, body, t
+               FROM p WHERE g % 3 = 0
+        UNION ALL SELECT g * 8 + 3, url, t + 7200, 'response', md5(body || 'x'),
+               sha1(body || 'x'), body, t FROM p WHERE g % 4 = 0
+        UNION ALL SELECT g * 8 + 4, url, t + 9000, 'revisit', NULL, sha1(body || 'x'), body, t
+               FROM p WHERE g % 4 = 0
+        UNION ALL SELECT g * 8 + 5, url, t - 100, 'revisit', md5(body), NULL, body, t
+               FROM p WHERE g % 5 = 0
+    ), bared AS (
+        SELECT *, regexp_replace(coalesce(url, ''), '#.*$', '', 's') AS bare FROM captures
+    ), named AS (
+        SELECT *, {_HOST} || regexp_replace(regexp_extract(bare, '^.*?://[^/?]*([^?]*)', 1, 's'), '/+$', '')
+               || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical
+        FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(
+                     regexp_extract(bare, '^[^?]*\?(.*)$', 1, 's'), '&'), lambda x: x <> '' AND NOT
+                     regexp_matches(lower(x), '{revisits.TRACKING}'))), '&') AS q FROM bared)
+    ), best AS (
+        SELECT canonical, ts, max(record_id) AS record_id FROM named
+        WHERE kind = 'response' GROUP BY canonical, ts
+    ), full_ones AS (
+        SELECT n.canonical, n.ts, n.record_id, n.etag, n.digest, length(n.body) AS size, n.own
+        FROM named n JOIN best USING (canonical, ts, record_id)
+    ), joined AS (
+        SELECT v.record_id, v.canonical, v.ts, v.etag, v.digest, v.own + 3600 AS fresh,
+               r.record_id AS response_id, r.etag AS r_etag, r.digest AS r_digest, r.size
+        FROM (SELECT * FROM named WHERE kind = 'revisit') v
+        ASOF LEFT JOIN full_ones r ON v.canonical = r.canonical AND v.ts > r.ts
+    ), judged AS (
+        SELECT *, CASE WHEN response_id IS NULL THEN 'orphan'
+               WHEN digest IS NOT NULL THEN CASE WHEN digest = r_digest THEN 'resolved' ELSE 'changed' END
+               WHEN etag = r_etag THEN 'resolved' ELSE 'changed' END AS status FROM joined
+    )
+    SELECT record_id, canonical, ts, status, response_id,
+           CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-length=' || size
+                || ';content-type=text/html;date=' || fresh || ';x-served=cache'
+           ELSE 'content-length=0;date=' || fresh || ';x-served=cache' END AS headers
+    FROM judged
+    """,
+)
+def op8_warc_revisits(spark, sf_dir):
+    captures = page_captures(load(spark, sf_dir, "pages"))
+    listed = F.transform("headers", lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return revisits.resolve_revisits(captures).withColumn("headers", F.array_join(listed, ";"))
