@@ -246,9 +246,10 @@ def _bare(spans: Column) -> Column:
 
 def private_report(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, number of spans per base kind, digest of the base spans, and all spans as text."""
+    ranks = F.transform("base", lambda s: s["rank"])
     counts = [
-        F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{kind}")
-        for r, kind in enumerate(FORMS)
+        (F.size("base") - F.size(F.array_remove(ranks, rank))).cast("long").alias(f"n_{kind}")
+        for rank, kind in enumerate(FORMS)
     ]
     every = F.array_sort(F.concat(_bare(F.col("base")), _bare(F.col("terms"))))
     return find_private(docs, **thresholds).select(
