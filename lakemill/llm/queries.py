@@ -14,6 +14,7 @@ from lakemill.llm import (
     fertility,
     line_dedup,
     ngram_join,
+    passages,
     pii,
     revisits,
     token_store,
@@ -286,3 +287,8 @@ def op8_warc_revisits(spark, sf_dir):
     captures = page_captures(load(spark, sf_dir, "pages"))
     listed = F.transform("headers", lambda e: F.concat_ws("=", e["key"], e["value"]))
     return revisits.resolve_revisits(captures).withColumn("headers", F.array_join(listed, ";"))
+
+
+@query("op6_collinear_passages")
+def op6_collinear_passages(spark, sf_dir):
+    return passages.shared_passages(load(spark, sf_dir, "documents"))
