@@ -52,8 +52,16 @@ def fingerprint(shingles: np.ndarray) -> int:
 # --- first scan: sizes, identities, frequent shingles -------------------------------------------
 
 _FACTS = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f", pa.int64())]
+    [
+        ("kind", pa.int32()),  # 0: a document, 1: a frequent shingle (f) and its count (n)
+        ("doc_id", pa.int64()),
+        ("n", pa.int64()),
+        ("f", pa.int64()),
+        ("sketch", pa.binary()),
+    ]
 )
+FACT_TYPES = "kind int, doc_id long, n long, f long, sketch binary"
+MOST_BROADCAST = 500_000  # document ids that may be sent to all executors
 
 
 def _describe(width: int):
@@ -68,14 +76,15 @@ def _describe(width: int):
                 n = int(many.sum())
                 yield batch(
                     _FACTS, np.ones(n, np.int32), pa.nulls(n, pa.int64()), counts[many],
-                    signed(values[many]),
+                    signed(values[many]), pa.nulls(n, pa.binary()),
                 )
 
         for b in batches:
-            counts, prints = [], []
+            counts, prints, sketches = [], [], []
             for _, shingles in shingle_sets(b["text"], width):
                 counts.append(len(shingles))
                 prints.append(fingerprint(shingles))
+                sketches.append(bit_sketch(shingles).tobytes() if len(shingles) else None)
                 held.append(shingles)
                 size += len(shingles)
                 if size >= 1_500_000:
@@ -84,7 +93,7 @@ def _describe(width: int):
             n = len(counts)
             yield batch(
                 _FACTS, np.zeros(n, np.int32), b["doc_id"], counts,
-                signed(np.array(prints, dtype=np.uint64)),
+                signed(np.array(prints, dtype=np.uint64)), sketches,
             )
         yield from frequent()
 
@@ -199,7 +208,7 @@ def _send(width: int, similarity: tuple[int, int], buckets: int, frequent):
                 sizes.append(sum(map(len, sent)))
                 prints.append(print_)
                 total += sizes[-1]
-                if total >= 3_000_000:
+                if total >= 2_000_000:
                     yield from flush()
                     keys, sizes, prints, total = [], [], [], 0
                     seen.clear()
@@ -268,23 +277,27 @@ def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sets(width: int):
-    schema = pa.schema([("f", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary())])
+    schema = pa.schema([("f", pa.int64()), ("members", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], []]
+            prints: list[int] = []
+            members: list[bytes] = []
             size = 0
+
+            def part() -> pa.RecordBatch:
+                return batch(schema, signed(np.array(prints, np.uint64)), members)  # noqa: B023
+
             for _, shingles in shingle_sets(b["text"], width):
                 if not len(shingles):
                     continue
-                out[0].append(fingerprint(shingles) - (fingerprint(shingles) >> 63 << 64))
-                out[1].append(bit_sketch(shingles).tobytes())
-                out[2].append(shingles.tobytes())
+                prints.append(fingerprint(shingles))
+                members.append(shingles.tobytes())
                 size += len(shingles)
                 if size > 500_000:
-                    yield batch(schema, *out)
-                    out, size = [[], [], []], 0
-            yield batch(schema, *out)
+                    yield part()
+                    prints, members, size = [], [], 0
+            yield part()
 
     return rows
 
@@ -396,10 +409,15 @@ def _candidates(docs: DataFrame, facts: DataFrame, width: int, similarity) -> Da
 def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFrame:
     """(node, label) of every set that is linked with another one."""
     num, den = similarity
-    classes = (
+    classes = materialise(
         facts.where("kind = 0 AND n > 0")
         .groupBy("f")
-        .agg(F.min("n").alias("n"), F.min("doc_id").alias("first_doc"))
+        .agg(
+            F.min("n").alias("n"),
+            F.min("doc_id").alias("first_doc"),
+            F.any_value("sketch").alias("sketch"),
+        ),
+        "classes",
     )
     sizes = classes.select("f", "n")
     pairs = (
@@ -408,20 +426,28 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
         .join(sizes.select(F.col("f").alias("b"), F.col("n").alias("nb")), "b")
     )
     pairs = materialise(pairs, "candidates")
-    ends = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
-    # first_doc carries the text of each set that may have a partner
-    wanted = ends.join(classes, "f").select(F.col("first_doc").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = sets.select("text").mapInArrow(_sets(width), "f long, sketch binary, members binary")
-    sets = materialise(sets.dropDuplicates(["f"]), "sets")
 
     def screened(found: DataFrame) -> DataFrame:
         fits = found.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-        return _with(fits, sets, "sketch").mapInArrow(
+        return _with(fits, classes, "sketch").mapInArrow(
             _screen(similarity), "a long, b long, na long, nb long"
         )
 
-    def verified(found: DataFrame) -> DataFrame:
+    def sets_of(found: DataFrame) -> DataFrame:
+        """The sets of all ends of some pairs, from the texts of the classes' first documents."""
+        ends = found.select(F.col("a").alias("f")).union(found.select("b")).distinct()
+        wanted = ends.join(classes.select("f", "first_doc"), "f").select(
+            F.col("first_doc").alias("doc_id")
+        )
+        wanted = materialise(wanted.distinct(), "wanted")
+        few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        texts = docs.select("doc_id", "text").join(
+            F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"
+        )
+        made = texts.select("text").mapInArrow(_sets(width), "f long, members binary")
+        return materialise(made, "sets")
+
+    def verified(found: DataFrame, sets: DataFrame) -> DataFrame:
         return _with(found.select("a", "b"), sets, "members").mapInArrow(
             _verify(similarity), "a long, b long"
         )
@@ -435,11 +461,12 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
         return both.where(~same).drop("_la", "_lb")
 
     passed = materialise(screened(pairs.drop("many")), "screened")
+    sets = sets_of(passed)
     one = passed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialise(verified(one), "links")
+    links = materialise(verified(one, sets), "links")
     labels = components(links)
     more = materialise(
-        verified(apart(passed, labels).join(one, ["a", "b"], "left_anti")), "links"
+        verified(apart(passed, labels).join(one, ["a", "b"], "left_anti"), sets), "links"
     )
     if more.limit(1).count():
         links = links.union(more)
@@ -469,14 +496,15 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
             blocks.select("first", "f", "n", "label", "block", other.alias("_other"))
             .withColumn("_lo", F.least("block", "_other"))
             .withColumn("_hi", F.greatest("block", "_other"))
-            .join(sets.select("f", "sketch"), "f")
+            .join(classes.select("f", "sketch"), "f")
         )
         crossed = (
             cells.groupBy("first", "_lo", "_hi")
             .applyInArrow(_across(similarity), "a long, b long")
             .distinct()
         )
-        late = materialise(verified(crossed), "links")
+        crossed = materialise(crossed, "crossed")
+        late = materialise(verified(crossed, sets_of(crossed)), "links")
         if late.limit(1).count():
             labels = components(links.union(late))
     return labels
@@ -497,7 +525,7 @@ def similar_documents(
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     facts = materialise(
         docs.select("doc_id", "text").mapInArrow(
-            _describe(width), "kind int, doc_id long, n long, f long"
+            _describe(width), FACT_TYPES
         ),
         "sets",
     )
