@@ -22,7 +22,7 @@ from lakemill.llm.common import batch
 
 VOCABULARY = "word_bpe_49k.json"
 END = "Ā"  # stands for the end-of-word mark; every other symbol is a byte
-MOST_KNOWN = 300_000  # texts per generation that a worker's cache keeps
+MOST_KNOWN = 100_000  # texts per generation that a worker's cache keeps
 
 # The splitting pattern of the vocabulary, for ASCII text (a fixed value of the file).
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)

@@ -7,6 +7,7 @@ or uses few different pieces. Bands per script say how far a text may go.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ TYPES = (
     " byte_share double, entropy_share double, script string"
 )
 
-MOST_WORDS = 250_000  # words whose pieces a worker keeps
+MOST_WORDS = 100_000  # words whose pieces a worker keeps
 
 
 class _Pieces:
@@ -74,9 +75,9 @@ class _Pieces:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids: list[bytes] = []  # of each known word, int32
 
-    def of(self, text_words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    def of(self, text_words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Number of each word among the distinct ones; adds the pieces of new ones."""
         known = self.known
         new = list({w for w in text_words if w not in known})
@@ -84,17 +85,17 @@ class _Pieces:
             plain = [w.decode("utf-8", "replace") for w in new]
             at = len(self.ids)
             known.update((w, at + i) for i, w in enumerate(new))
-            self.ids.extend(self.model.encode(plain, num_threads=1))
+            pieces = self.model.encode(plain, num_threads=1)
+            self.ids.extend(struct.pack(f"={len(p)}i", *p) for p in pieces)
         return np.fromiter((known[w] for w in text_words), np.int64, len(text_words)), self.ids
 
 
 _loaded: dict[str, _Pieces] = {}
 
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-    return flat, sizes
+def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    return np.frombuffer(b"".join(ids), np.int32), sizes
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
