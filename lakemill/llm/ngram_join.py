@@ -341,8 +341,9 @@ def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(right, "b").join(left, "a")
 
 
-def _across(similarity: tuple[int, int]):
-    """Pairs of one cell, block against block, that are in different components and pass."""
+def _across(similarity: tuple[int, int], nearest: bool):
+    """Pairs of one cell, block against block, that are in different components and pass; or the
+    nearest partner alone of each set."""
     num, den = similarity
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -354,7 +355,7 @@ def _across(similarity: tuple[int, int]):
         for width in {len(sketches[i]) for i in right.tolist()}:
             classes[width] = np.array([i for i in right.tolist() if len(sketches[i]) == width])
         folded: dict[tuple[int, int], np.ndarray] = {}
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], []]
         for i in np.flatnonzero(block == lo).tolist():
             for width, members in classes.items():
                 words = min(width, len(sketches[i]))
@@ -369,12 +370,13 @@ def _across(similarity: tuple[int, int]):
                 apart = np.bitwise_count(
                     folded[width, words][fits] ^ _fold(sketches[i], words)
                 ).sum(axis=1, dtype=np.int64)
-                near = members[fits][
-                    apart <= (n[members][fits] + n[i]) * (den - num) // (den + num)
-                ]
+                passing = apart <= (n[members][fits] + n[i]) * (den - num) // (den + num)
+                near = members[fits][passing]
+                if nearest and len(near):
+                    near = near[[int(np.lexsort((f[near], apart[passing]))[0])]]
                 out[0].append(np.minimum(f[near], f[i]))
                 out[1].append(np.maximum(f[near], f[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:2])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
         return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
     return pairs
@@ -472,25 +474,17 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
         links = links.union(more)
         labels = components(links)
 
-    # larger groups, by their first set: all of them are in one component, or blocks are compared
+    # Larger groups, by their first set: all of one are in one component, or blocks are compared.
+    # As long as nearest partners are mostly links, components at least halve where they can; what
+    # is apart after that is compared whole.
     large = pairs.where("many = 1")
     held = large.select(F.col("a").alias("first"), F.col("b").alias("f"), F.col("nb").alias("n"))
-    held = held.union(large.select("a", "a", "na")).distinct()
-    held = held.join(labels.withColumnRenamed("node", "f"), "f", "left").withColumn(
-        "label", F.coalesce("label", "f")
-    )
-    held = materialise(held, "groups")
-    split = (
-        held.groupBy("first")
-        .agg(F.count("*").alias("_size"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-        .where("_lo < _hi")
-        .withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-        .select("first", "_blocks")
-    )
-    blocks = held.join(split, "first").withColumn(
-        "block", F.pmod(F.xxhash64("f"), F.col("_blocks")).cast("int")
-    )
-    if blocks.limit(1).count():
+    held = materialise(held.union(large.select("a", "a", "na")).distinct(), "groups")
+    nearest = True
+    while True:
+        blocks = _split_groups(held, labels)
+        if blocks.limit(1).count() == 0:
+            return labels
         other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
         cells = (
             blocks.select("first", "f", "n", "label", "block", other.alias("_other"))
@@ -500,14 +494,36 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
         )
         crossed = (
             cells.groupBy("first", "_lo", "_hi")
-            .applyInArrow(_across(similarity), "a long, b long")
+            .applyInArrow(_across(similarity, nearest), "a long, b long")
             .distinct()
         )
         crossed = materialise(crossed, "crossed")
         late = materialise(verified(crossed, sets_of(crossed)), "links")
-        if late.limit(1).count():
-            labels = components(links.union(late))
-    return labels
+        new = late.count()
+        if new:
+            links = links.union(late)
+            labels = components(links)
+        if not nearest:
+            return labels
+        nearest = 10 * new >= crossed.count()  # few were links: compare the rest whole
+
+
+def _split_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the groups that are in several components, with their blocks."""
+    named = held.join(labels.withColumnRenamed("node", "f"), "f", "left").withColumn(
+        "label", F.coalesce("label", "f")
+    )
+    named = materialise(named, "groups")
+    split = (
+        named.groupBy("first")
+        .agg(F.count("*").alias("_size"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+        .where("_lo < _hi")
+        .withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
+        .select("first", "_blocks")
+    )
+    return named.join(split, "first").withColumn(
+        "block", F.pmod(F.xxhash64("f"), F.col("_blocks")).cast("int")
+    )
 
 
 def similar_documents(
