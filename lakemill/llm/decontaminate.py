@@ -86,7 +86,7 @@ def find_leaks(
     docs: DataFrame, bench: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, hits (array of struct(start, size) of matching
-    windows, in words), items (sorted array of item_id) and the columns named in `keep`.
+    windows, in words), items (sorted array of item_id); `kept` has the columns named in `keep`.
 
     Words are runs of ASCII letters and digits and of all other characters beyond ASCII, with A-Z
     lower-cased. A window is `width` consecutive words of an item, or the whole of a shorter one.
@@ -96,8 +96,7 @@ def find_leaks(
     """
     windows = item_windows(bench.select("item_id", "text"), width)
     places, few = _places(windows)
-    others = [c for c in keep if c != "doc_id"]
-    kept = F.struct(F.col("doc_id"), *(F.col(f"`{c}`") for c in others)).alias("kept")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep or ("doc_id",))).alias("kept")
     scanned = docs.select(
         F.monotonically_increasing_id().alias("row"), kept, words_of(F.col("text")).alias("w")
     ).select("row", "kept", F.size("w").alias("n_words"), "w", places.alias("places"))
@@ -131,9 +130,7 @@ def find_leaks(
         F.array_sort(F.collect_set("hit")).alias("hits"),
         F.array_sort(F.collect_set("item")).alias("items"),
     )
-    return grouped.select(
-        *(F.col("kept")[c].alias(c) for c in ("doc_id", *others)), "n_words", "hits", "items"
-    )
+    return grouped.select(F.col("kept.doc_id").alias("doc_id"), "n_words", "hits", "items", "kept")
 
 
 def hit_words() -> Column:
@@ -162,19 +159,24 @@ def remove_leaks(docs: DataFrame, bench: DataFrame, width: int = WIDTH, spans: b
     """
     found = find_leaks(docs, bench, width, tuple(docs.columns))
     if not spans:
-        return found.where(F.size("hits") == 0).select(docs.columns)
-    words = F.regexp_extract_all("text", F.lit(ANY_CASE), F.lit(0))
-    gaps = F.split("text", ANY_CASE, -1)
-    hit = hit_words()
+        return found.where(F.size("hits") == 0).select("kept.*")
+    split = found.select(
+        "kept",
+        F.when(F.size("hits") > 0, hit_words()).alias("gone"),
+        F.regexp_extract_all("kept.text", F.lit(ANY_CASE), F.lit(0)).alias("words"),
+        F.split("kept.text", ANY_CASE, -1).alias("gaps"),
+    )
     left = F.transform(
-        words,
-        lambda w, i: F.when(F.array_contains(hit, i), F.lit("")).otherwise(
-            F.concat(F.get(gaps, i), w)
+        "words",
+        lambda w, i: F.when(F.array_contains("gone", i), F.lit("")).otherwise(
+            F.concat(F.get("gaps", i), w)
         ),
     )
-    cut = F.concat(F.array_join(left, ""), F.element_at(gaps, -1))
-    cleaned = found.withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
+    cut = F.concat(F.array_join(left, ""), F.element_at("gaps", -1))
+    text = F.when(F.col("gone").isNotNull(), cut).otherwise(F.col("kept.text"))
+    cleaned = split.select("kept", "gone", text.alias("cut"))
+    made = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size("hits") > 0, size).otherwise(F.col("n_chars")))
-    return cleaned.select(docs.columns)
+        size = F.length("cut").cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.col("gone").isNotNull(), size).otherwise(F.col("kept.n_chars"))
+    return cleaned.select(*((made[c] if c in made else F.col("kept")[c]).alias(c) for c in docs.columns))
