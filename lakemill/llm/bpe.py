@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakemill.llm.common import batch
+from lakemill.llm.common import batch, parts
 
 VOCABULARY = "word_bpe_49k.json"
 END = "Ā"  # stands for the end-of-word mark; every other symbol is a byte
-MOST_KNOWN = 100_000  # texts per generation that a worker's cache keeps
+MOST_KNOWN = 40_000  # texts per generation that a worker's cache keeps
 
 # The splitting pattern of the vocabulary, for ASCII text (a fixed value of the file).
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -190,12 +190,15 @@ class WordEncoder(Encoder):
         super().__init__(path)
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        spec["model"] |= {"vocab": {}, "merges": []}  # normaliser and splitter are enough
+        library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.symbols = byte_symbols()
         self.units = Cache(self._unit)
-        parts = sorted(map(re.escape, self.special), key=len, reverse=True)
-        self.specials = re.compile("(" + "|".join(parts) + ")") if parts else None
+        names = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.specials = re.compile("(" + "|".join(names) + ")") if names else None
 
     def _unit(self, unit: bytes) -> bytes:
         """Ids of a run without ASCII white space."""
@@ -209,13 +212,13 @@ class WordEncoder(Encoder):
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text and self.specials is not None:
-            parts = self.specials.split(text.decode("utf-8", "replace"))
-            if len(parts) > 1:
+            pieces = self.specials.split(text.decode("utf-8", "replace"))
+            if len(pieces) > 1:
                 return b"".join(
                     np.array([self.special[p]], "<u4").tobytes()
                     if p in self.special
                     else self.encode_plain(p.encode("utf-8"))
-                    for p in parts
+                    for p in pieces
                 )
         return self.encode_plain(text)
 
@@ -278,11 +281,6 @@ _DIGESTS = pa.schema(
 )
 
 
-def _parts(b: pa.RecordBatch, size: int = 200) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(b), size):
-        yield b.slice(at, size)
-
-
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row, ids as little-endian unsigned 32-bit integers.
 
@@ -294,7 +292,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b, 200):
                 texts = part["text"].cast(pa.binary())
                 yield batch(_IDS, part["doc_id"], [encoder.encode(t.as_py() or b"") for t in texts])
 
@@ -308,7 +306,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(path)
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b, 200):
                 texts = [
                     decoder.decode(np.frombuffer(i.as_py() or b"", "<u4").tolist()).decode()
                     for i in part["ids"]
@@ -328,7 +326,7 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         decoder = _decoder(path)
         decimal = [b"%d" % i for i in range(len(decoder.tokens))]
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b, 200):
                 out: list[list] = [[], [], []]
                 for ids in part["ids"]:
                     ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()

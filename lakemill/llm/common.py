@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 SPACES = b" \t\n\x0b\x0c\r"
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -132,6 +132,12 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def parts(b: pa.RecordBatch, size: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, few at a time, so that what is made of them stays small."""
+    for at in range(0, len(b), size):
+        yield b.slice(at, size)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lakemill.llm.common import SPACES, batch, buffers, mix, slices
+from lakemill.llm.common import SPACES, batch, buffers, mix, parts, slices
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -59,7 +60,7 @@ TYPES = (
     " byte_share double, entropy_share double, script string"
 )
 
-MOST_WORDS = 100_000  # words whose pieces a worker keeps
+MOST_WORDS = 60_000  # words whose pieces a worker keeps
 
 
 class _Pieces:
@@ -226,8 +227,7 @@ def measure_quality(
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows that pass, with their own columns: judged in place, so no join moves the texts."""
     others = docs.columns
-    from pyspark.sql import functions as F
-
+    place = others.index("text")
     struct = F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row")
     kind = docs.select(struct).schema["_row"].dataType.simpleString()
     if options.get("vocabulary") is None:
@@ -242,12 +242,12 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row = b["_row"]
-            texts = pa.RecordBatch.from_arrays(
-                [pa.nulls(len(b), pa.int64()), row.field("text")], names=["doc_id", "text"]
-            )
-            kept = pa.concat_arrays([j["kept"] for j in judge(iter([texts]))] or [pa.array([], pa.bool_())])
-            yield b.filter(kept)
+            for part in parts(b):
+                text = part["_row"].flatten()[place]  # a slice of the field, too
+                texts = pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(part), pa.int64()), text], names=["doc_id", "text"]
+                )
+                yield part.filter(pa.concat_arrays([j["kept"] for j in judge(iter([texts]))]))
 
     passed = docs.select(struct).mapInArrow(rows, f"_row {kind}")
     return passed.select(*(F.col("_row")[c].alias(c) for c in others))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import SPACES, batch
+from lakemill.llm.common import SPACES, batch, parts
 from lakemill.session import materialise
 
 MIN_CHARS = 20
@@ -52,7 +52,7 @@ def _code_points(key: bytes) -> int:
 
 def _line_rows(min_chars: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 2000)):
             out: list[list] = [[], [], [], [], []]
             size = 0
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
@@ -178,9 +178,9 @@ def dropped_lines(
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         dropped, maps = [], []
-        for n, parts in zip(b["n_lines"].to_pylist(), b["parts"].to_pylist(), strict=True):
+        for n, lines in zip(b["n_lines"].to_pylist(), b["parts"].to_pylist(), strict=True):
             keep = np.ones(n, dtype=bool)
-            keep[np.frombuffer(b"".join(parts), dtype=np.int32)] = False
+            keep[np.frombuffer(b"".join(lines), dtype=np.int32)] = False
             dropped.append(n - int(keep.sum()))
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
         yield pa.RecordBatch.from_arrays(
@@ -219,7 +219,7 @@ def _kept(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in parts(whole)):
         hashes, counts, gone = [], [], []
         for text, bitmap in zip(b["text"].cast(pa.binary()), b[KEEP], strict=True):
             left, n, dropped = _kept(text.as_py() or b"", bitmap.as_py())
@@ -261,7 +261,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in parts(whole)):
         made = [
             _kept(text.as_py() or b"", bitmap.as_py())[0]
             for text, bitmap in zip(b["text"].cast(pa.binary()), b[KEEP], strict=True)
