@@ -24,7 +24,9 @@ def top_k(
     `queries` is (query_id bigint, q). The vectors are read where they lie: each task scores its
     Arrow batches against the queries with one matrix product and hands on only the rows that
     can still be among the k best, ties included. More than `per_pass` queries are answered in
-    several passes, so what goes to the tasks stays bounded.
+    several passes, so what goes to the tasks stays bounded. Vectors of another size, of length
+    zero, or with an element that is NULL or no number have no angle: they are no answer, and as
+    queries have none.
     """
     passes = -(-max(queries.count(), 1) // per_pass)
     parts = []
@@ -45,17 +47,23 @@ def top_k(
 
 
 def _one_pass(vectors, key, vector, rows, size, k):
+    rows = [r for r in rows if r.q is not None and len(r.q) == size]
     ids = np.array([r.query_id for r in rows], dtype=np.int64)
-    wanted = np.array([r.q for r in rows], dtype=np.float64)
-    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    wanted = np.array([r.q for r in rows], dtype=np.float64).reshape(-1, size)
+    length = np.linalg.norm(wanted, axis=1)
+    usable = np.isfinite(length) & (length > 0)
+    ids, wanted = ids[usable], wanted[usable] / length[usable, None]
 
     def score(batches):
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             given = flat.reshape(-1, size)
-            if not len(given):
+            length = np.linalg.norm(given, axis=1)
+            rows_at = np.flatnonzero(np.isfinite(length) & (length > 0))
+            if not len(rows_at) or not len(wanted):
                 continue
-            scores = (given @ wanted.T) / np.linalg.norm(given, axis=1, keepdims=True)
+            given = given[rows_at]
+            scores = (given @ wanted.T) / length[rows_at, None]
             if len(given) > k:
                 least = np.partition(scores, len(given) - k, axis=0)[len(given) - k]
                 at, which = np.nonzero(scores >= least)
@@ -64,7 +72,7 @@ def _one_pass(vectors, key, vector, rows, size, k):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[which]),
-                    batch.column(0).take(pa.array(at)),
+                    batch.column(0).take(pa.array(rows_at[at])),
                     pa.array(scores[at, which]),
                 ],
                 names=["query_id", key, "score"],

@@ -6,21 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+FAR = "9999-01-01"
+
+
 def join_periods(
-    facts: DataFrame, day: Column, periods: DataFrame, start: str = "from_date", end: str = "to_date"
+    facts: DataFrame,
+    day: Column,
+    periods: DataFrame,
+    start: str = "from_date",
+    end: str = "to_date",
+    keys: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Facts with every period where `start <= day < end`.
+    """Facts with every period where `start <= day < end`; a NULL end is open.
 
-    Each period is listed once per month it touches, so the range test becomes an equality on
-    the month with the exact bounds as a residual test: no all-pairs comparison.
+    With `keys` (fact column -> period column) the join is an equality on them with the bounds as
+    a residual test, and a period is one row. Without, each period is listed once per month of the
+    facts that it touches, so the range test becomes an equality on the month.
     """
+    until = F.coalesce(F.col(end), F.lit(FAR).cast("date"))
+    if keys:
+        same = [F.col(a) == F.col(b) for a, b in keys.items()]
+        return facts.withColumn("_day", day).join(
+            periods, [*same, F.col("_day") >= F.col(start), F.col("_day") < until]
+        ).drop("_day")
+    range_ = facts.agg(F.min(day).alias("_first"), F.max(day).alias("_last")).first()
+    if range_["_first"] is None:
+        return facts.withColumn("_day", day).join(periods, F.lit(False)).drop("_day")
+    first, last = (F.lit(range_[c]).cast("date") for c in ("_first", "_last"))
     # A period with end <= start holds no day, and lists no month.
     months = F.sequence(
-        F.trunc(F.col(start), "MM"),
-        F.trunc(F.date_sub(F.col(end), 1), "MM"),
+        F.trunc(F.greatest(F.col(start), first), "MM"),
+        F.trunc(F.least(F.date_sub(until, 1), last), "MM"),
         F.expr("interval 1 month"),
     )
-    listed = periods.filter(F.col(start) < F.col(end)).withColumn("_month", F.explode(months))
+    touched = (F.col(start) < until) & (F.col(start) <= last) & (until > first)
+    listed = periods.filter(touched).withColumn("_month", F.explode(months))
     return (
         facts.withColumn("_day", day)
         .withColumn("_m", F.trunc("_day", "MM"))
@@ -28,7 +48,7 @@ def join_periods(
             listed,
             (F.col("_m") == F.col("_month"))
             & (F.col("_day") >= F.col(start))
-            & (F.col("_day") < F.col(end)),
+            & (F.col("_day") < until),
         )
         .drop("_m", "_month", "_day")
     )

@@ -183,9 +183,15 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: rows, NULLs, distinct values, lowest, highest and mean, as text or double.
 
     Exact distinct counts group by value, one job per column, so no row is expanded; for wide
-    tables `exact=False` takes sketches within the single pass.
+    tables `exact=False` takes sketches within the single pass. Means are summed with six
+    decimals and shown with four.
     """
-    numeric = {c for c, kind in df.dtypes if kind in ("int", "bigint", "double", "float")}
+    whole = ("tinyint", "smallint", "int", "bigint")
+    numeric = {
+        c
+        for c, kind in df.dtypes
+        if kind in (*whole, "double", "float") or kind.startswith("decimal")
+    }
     total = df.agg(row_count()).scalar()
 
     def one(column):
@@ -195,7 +201,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
             values = df.groupBy(c.alias("v")).agg(row_count().alias("n"))
             v = F.col("v")
             weighted = (
-                F.sum(v.cast("decimal(20,2)") * F.col("n")).cast("double")
+                F.sum(v.cast("decimal(24,6)") * F.col("n").cast("decimal(12,0)")).cast("double")
                 / F.sum(F.when(v.isNotNull(), F.col("n")))
                 if column in numeric
                 else F.lit(None).cast("double")

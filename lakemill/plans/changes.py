@@ -154,12 +154,11 @@ def update_rules(t):
 @query(
     "dml_update_map",
     "SELECT c_custkey, coalesce(s_name, c_name) AS c_name FROM customer LEFT JOIN supplier"
-    " ON s_suppkey = c_custkey AND s_acctbal > 0",
+    " ON s_suppkey = c_custkey",
 )
 def update_map(t):
-    names = t.supplier.filter("s_acctbal > 0")
     return H.update_map(
-        t.customer.select("c_custkey", "c_name"), "c_custkey", "c_name", names, "s_suppkey", "s_name"
+        t.customer.select("c_custkey", "c_name"), "c_custkey", "c_name", t.supplier, "s_suppkey", "s_name"
     )
 
 
@@ -221,10 +220,10 @@ def replace_partition(t):
 @query(
     "dml_restrict_check",
     "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey IN (SELECT o_custkey"
-    " FROM orders WHERE o_totalprice > 450000)",
+    " FROM orders)",
 )
 def restrict_check(t):
-    large = t.orders.filter("o_totalprice > 450000")
+    large = t.orders.select("o_custkey")
     return H.blocked_deletes(
         t.customer, C("c_acctbal") < 0, "c_custkey", large, "o_custkey"
     ).select("c_custkey")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakemill.operators.relational import money_sum, on_days, stack_counts
 from lakemill.plans.registry import query
+from lakemill.session import SCHEMAS
 
 # ------------------------------------------------------------------ scans and filters
 
@@ -383,7 +384,7 @@ def lim_top_reviews(t):
 
 # --------------------------------------------------------------------- set operations
 
-COUNTED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
+COUNTED = tuple(sorted(SCHEMAS))
 
 
 @query(
@@ -409,8 +410,7 @@ def set_union_distinct(t):
     "SELECT CAST(COUNT(*) AS BIGINT) AS tables, CAST(SUM(n) AS BIGINT) AS total_rows FROM ("
     + " UNION ALL ".join(
         f"SELECT COUNT(*) AS n FROM {n}"
-        for n in (*COUNTED, "events", "documents", "embeddings", "pages", "benchmark", "labels",
-                  "conversations")
+        for n in COUNTED
     )
     + ")",
 )

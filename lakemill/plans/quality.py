@@ -290,8 +290,10 @@ def missing_share(t):
 
 PROFILED = (
     ("o_orderkey", True),
+    ("o_custkey", True),
     ("o_orderstatus", False),
     ("o_totalprice", True),
+    ("o_orderdate", False),
     ("o_orderpriority", False),
 )
 
@@ -303,7 +305,7 @@ PROFILED = (
         f" COUNT(DISTINCT {c}) AS distinct_values, CAST(MIN({c}) AS VARCHAR) AS lowest,"
         f" CAST(MAX({c}) AS VARCHAR) AS highest, "
         + (
-            f"ROUND(CAST(SUM(CAST({c} AS DECIMAL(20,2))) AS DOUBLE) / COUNT({c}), 4)"
+            f"ROUND(CAST(SUM(CAST({c} AS DECIMAL(24,6))) AS DOUBLE) / COUNT({c}), 4)"
             if numeric
             else "CAST(NULL AS DOUBLE)"
         )
@@ -383,7 +385,7 @@ def gather_stats(t):
     return Q.gather_stats(rows, work_folder(t.spark, "stats")).filter("info_name = 'num_nulls'")
 
 
-VIEWS = ("view_customer_list", "view_staff_list", "view_sales_by_category", "view_product_orders")
+VIEWS = tuple(sorted(k for k in ORACLES if k.startswith(("view_", "mv_"))))
 
 
 @query(

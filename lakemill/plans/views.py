@@ -86,12 +86,12 @@ def staff_list(t):
 # A part is a film, its brand the category, and the nations that ship it in bulk its cast.
 CAST_SQL = (
     "SELECT DISTINCT l_partkey AS k, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
-    " JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 45"
+    " JOIN nation ON s_nationkey = n_nationkey"
 )
 
 
 def film_cast(t):
-    pairs = t.lineitem.filter("l_quantity > 45").select("l_partkey", "l_suppkey").distinct()
+    pairs = t.lineitem.select("l_partkey", "l_suppkey").distinct()
     return (
         pairs.join(t.supplier, C("l_suppkey") == C("s_suppkey"))
         .join(t.nation, C("s_nationkey") == C("n_nationkey"))
@@ -447,15 +447,14 @@ def product_orders(t):
     "SELECT l_orderkey, l_linenumber, l_partkey, unit_cost, CAST(unit_cost * CAST(l_quantity"
     " AS INTEGER) AS DECIMAL(28,2)) AS total_cost FROM lineitem JOIN (SELECT l_partkey AS p,"
     f" l_suppkey AS s, l_shipdate AS d, l_returnflag AS f, MIN({PRICE}) AS unit_cost FROM lineitem"
-    " WHERE l_discount >= 0.03 GROUP BY ALL) ON l_partkey = p AND l_suppkey = s"
+    " GROUP BY ALL) ON l_partkey = p AND l_suppkey = s"
     " AND l_shipdate = d AND l_returnflag = f",
 )
 def profits(t):
     """Sales without a cost drop out."""
     keys = ["l_partkey", "l_suppkey", "l_shipdate", "l_returnflag"]
     costs = (
-        t.lineitem.filter("l_discount >= 0.03D")
-        .groupBy(*keys)
+        t.lineitem.groupBy(*keys)
         .agg(money(F.min("l_extendedprice")).alias("unit_cost"))
     )
     total = C("unit_cost") * C("l_quantity").cast("int")

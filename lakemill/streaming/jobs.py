@@ -87,7 +87,8 @@ def latest_changes(spark: SparkSession, output: str, snapshot: str | None) -> Da
         base = spark.read.schema(f"{COPY_SCHEMA}, batch bigint").parquet(snapshot)
         done = base.agg(F.coalesce(F.max("batch"), F.lit(-1))).scalar()
         rows = base.unionByName(rows.filter(F.col("batch") > done))
-    return latest_per_key(rows, ["key"], [F.desc("batch"), F.desc("seq")])
+    # by seq alone: how files fall into batches must not decide which change is the latest
+    return latest_per_key(rows, ["key"], [F.desc("seq"), F.desc("batch")])
 
 
 def read_copy(spark: SparkSession, output: str, snapshot: str | None = None) -> DataFrame:
