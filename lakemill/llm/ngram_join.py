@@ -454,25 +454,9 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
             _verify(similarity), "a long, b long"
         )
 
-    def apart(found: DataFrame, labels: DataFrame) -> DataFrame:
-        """Those whose sets are in different components so far."""
-        a = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
-        b = labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
-        both = found.join(a, "a", "left").join(b, "b", "left")
-        same = F.coalesce("_la", "a") == F.coalesce("_lb", "b")
-        return both.where(~same).drop("_la", "_lb")
-
     passed = materialise(screened(pairs.drop("many")), "screened")
-    sets = sets_of(passed)
-    one = passed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialise(verified(one, sets), "links")
+    links = materialise(verified(passed, sets_of(passed)), "links")
     labels = components(links)
-    more = materialise(
-        verified(apart(passed, labels).join(one, ["a", "b"], "left_anti"), sets), "links"
-    )
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
 
     # Larger groups, by their first set: all of one are in one component, or blocks are compared.
     # As long as nearest partners are mostly links, components at least halve where they can; what
