@@ -482,6 +482,9 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
             .distinct()
         )
         crossed = materialise(crossed, "crossed")
+        left = crossed.count()
+        if not left:  # a set has a nearest partner wherever any pair of it passes
+            return labels
         late = materialise(verified(crossed, sets_of(crossed)), "links")
         new = late.count()
         if new:
@@ -489,7 +492,7 @@ def _links(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFra
             labels = components(links)
         if not nearest:
             return labels
-        nearest = 10 * new >= crossed.count()  # few were links: compare the rest whole
+        nearest = 10 * new >= left  # few were links: compare the rest whole
 
 
 def _split_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
