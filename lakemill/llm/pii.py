@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation with DataFrame functions only.
 
 Addresses and numbers that name a person are found by form. The corpus then tells which terms give
-them away: a term that stands next to the same one in several texts, and hardly anywhere else, lets
-a reader infer it. Terms whose share and pointwise mutual information exceed the thresholds are
+them away: a term that stands in the texts of the same one, at any distance, in several of them, and
+in hardly any other, lets a reader infer it. Terms whose share and pointwise mutual information exceed the thresholds are
 replaced wherever they occur, by their kind or, above a second threshold, by nothing.
 """
 
@@ -30,9 +30,7 @@ GUARDS = {
     "phone": lambda t: F.instr(t, "+") > 0,
 }
 KINDS = (*FORMS, "term")
-CONTEXT_WORDS = 3  # terms on each side of a span that are counted with it
-CONTEXT_CHARS = 120
-MIN_TEXTS = 3  # distinct texts in which a term stands next to the value
+MIN_TEXTS = 3  # distinct texts that hold both the term and the value
 MIN_SHARE = 0.9  # of the texts that hold the term at all
 MIN_BITS = 6.0  # pointwise mutual information
 REMOVE_SHARE = 0.99  # from this share on a term is removed, below it is generalised
@@ -70,13 +68,13 @@ def _total(parts: Column, n: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
 
 
-SPANS = "array<struct<start:int,rank:int,end:int,value:string,before:string,after:string>>"
+SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
 def base_spans(kind: str) -> Column:
-    """array of struct(start, rank, end, value, before, after) from the columns `<kind>` (matches)
-    and `<kind>_gaps` (what is between them): valid matches, with code points from 0, the end
-    exclusive, and the text on both sides."""
+    """array of struct(start, rank, end, value) from the columns `<kind>` (matches) and
+    `<kind>_gaps` (what is between them): valid matches, with code points from 0, the end
+    exclusive."""
     matches, gaps = F.col(kind), F.col(f"{kind}_gaps")
     numbered = F.transform(matches, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
     valid = F.filter(numbered, lambda x: _valid(kind, x["m"]))
@@ -88,36 +86,39 @@ def base_spans(kind: str) -> Column:
             F.lit(KINDS.index(kind)).alias("rank"),
             (start + F.length(x["m"])).alias("end"),
             x["m"].alias("value"),
-            F.substr(F.get(gaps, x["i"]), F.lit(-CONTEXT_CHARS)).alias("before"),
-            F.substr(F.get(gaps, x["i"] + 1), F.lit(1), F.lit(CONTEXT_CHARS)).alias("after"),
         )
 
     return F.coalesce(F.transform(valid, span), F.array().cast(SPANS))
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, text_hash and the array `base` of spans, by start and
-    kind. Texts are read once and not kept."""
+    """One row per row of `docs`: doc_id, text_hash, the array `base` of spans, by start and kind,
+    the distinct `words` (terms) of the text, and those `outside` of its values, null where that
+    is all. Texts are read once and not kept."""
     text = F.coalesce("text", F.lit(""))
     parts = []
     for kind, form in FORMS.items():
         worth = GUARDS[kind](text)
         parts.append(F.when(worth, F.regexp_extract_all(text, F.lit(form), F.lit(0))).alias(kind))
         parts.append(F.when(worth, F.split(text, form, -1)).alias(f"{kind}_gaps"))
-    searched = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), *parts)
+    # of the forms only addresses hold letters
+    rest = F.regexp_replace(text, FORMS["email"], " ")
+    searched = docs.select(
+        "doc_id",
+        F.xxhash64(text).alias("text_hash"),
+        *parts,
+        _terms(text).alias("words"),
+        F.when(GUARDS["email"](text), _terms(rest)).alias("outside"),
+    )
     spans = F.array_sort(F.concat(*map(base_spans, FORMS)))
-    return searched.select("doc_id", "text_hash", spans.alias("base"))
-
-
-def _context(side: Column, last: bool) -> Column:
-    words = F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
-    if not last:
-        return F.slice(words, 1, CONTEXT_WORDS)
-    return F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS, F.lit(0)) + 1, CONTEXT_WORDS)
+    return searched.select("doc_id", "text_hash", spans.alias("base"), "words", "outside")
 
 
 def disclosing_terms(
-    docs: DataFrame,
     found: DataFrame,
     min_texts: int = MIN_TEXTS,
     min_share: float = MIN_SHARE,
@@ -127,52 +128,57 @@ def disclosing_terms(
     texts that hold one of them. Equal texts count once.
 
     share = texts with term and value / texts with the term; bits = log2(share / share of texts
-    with the value). Only terms seen next to one value in `min_texts` texts are counted at all,
-    so what is shuffled of the corpus is their occurrences.
+    with the value). Terms are those of the whole text, outside of its values. As no term and
+    value meet in more texts than either has, those that cannot reach the thresholds, hot ones
+    among them, are left out before terms and values of a text are paired.
     """
-    spans = found.where(F.size("base") > 0).select("text_hash", F.explode("base").alias("s"))
-    near = F.array_distinct(
-        F.concat(_context(F.col("s.before"), True), _context(F.col("s.after"), False))
-    )
-    seen = materialise(
-        spans.select("text_hash", F.lower("s.value").alias("value"), near.alias("terms")), "pii"
+    copies = found.groupBy("text_hash").agg(F.count("*").alias("_rows"))
+    copies = materialise(copies, "pii")
+    total = copies.count()
+    copied = copies.where("_rows > 1").select("text_hash")
+    every = found.select("text_hash", F.coalesce("outside", "words").alias("words"))
+    once = every.join(copied, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = every.join(copied, "text_hash", "left_anti").union(materialise(once, "pii"))
+    most = total / 2**min_bits * (1 + 1e-9)
+    with_term = (
+        texts.select(F.explode("words").alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("of_term"))
+        .where(F.col("of_term").between(min_texts, most))
     )
-    together = (
-        seen.select("text_hash", "value", F.explode("terms").alias("term"))
+    seen = (
+        found.where(F.size("base") > 0)
+        .select("text_hash", F.explode("base.value").alias("value"))
+        .select("text_hash", F.lower("value").alias("value"))
         .distinct()
-        .groupBy("term", "value")
-        .agg(F.count("*").alias("both"))
-        .where(F.col("both") >= min_texts)
-    )
-    together = materialise(together, "pii")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    held = texts.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-        ).alias("term"),
-    )
-    held = materialise(held.join(together.select("term").distinct(), "term"), "pii")
-    with_term = (
-        held.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("of_term"))
     )
+    seen = materialise(seen, "pii")
     with_value = (
-        seen.select("value", "text_hash").distinct().groupBy("value").agg(F.count("*").alias("of_value"))
+        seen.groupBy("value")
+        .agg(F.count("*").alias("of_value"))
+        .where(F.col("of_value").between(min_texts, most))
+    )
+    seen = materialise(seen.join(with_value, "value"), "pii")
+    held = (
+        texts.join(seen.select("text_hash").distinct(), "text_hash", "left_semi")
+        .select("text_hash", F.explode("words").alias("term"))
+        .join(with_term, "term")
     )
-    every = found.select("text_hash").distinct().agg(F.count("*").alias("texts"))
-    total = every.first()["texts"]
     share = F.col("both") / F.col("of_term")
     scored = (
-        together.join(with_term, "term")
-        .join(with_value, "value")
+        held.join(seen, "text_hash")
+        .where(F.col("of_term") * min_share <= F.col("of_value") * (1 + 1e-9))
+        .groupBy("term", "value", "of_term", "of_value")
+        .agg(F.count("*").alias("both"))
+        .where(F.col("both") >= min_texts)
         .select("term", share.alias("share"), F.log2(share * total / F.col("of_value")).alias("bits"))
         .where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
         .groupBy("term")
         .agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
     )
     scored = materialise(scored, "pii")
-    return scored, held.join(scored, "term").select("doc_id", "text_hash", "term", "share").distinct()
+    holders = found.select("doc_id", "text_hash", F.explode("words").alias("term"))
+    return scored, holders.join(scored, "term").select("doc_id", "text_hash", "term", "share").distinct()
 
 
 def find_private(docs: DataFrame, **thresholds) -> DataFrame:
@@ -184,7 +190,7 @@ def find_private(docs: DataFrame, **thresholds) -> DataFrame:
     """
     source = docs.select("doc_id", "text")
     found = materialise(find_base(source), "pii")
-    _, holders = disclosing_terms(source, found, **thresholds)
+    _, holders = disclosing_terms(found, **thresholds)
     per_text = holders.groupBy("doc_id", "text_hash").agg(
         F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares")
     )

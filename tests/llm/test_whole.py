@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 
-from lakemill.llm import ngram_join
+import random
+
+from lakemill.llm import ngram_join, pii
 
 
 def test_join_ends_when_nothing_is_left(spark, monkeypatch):
@@ -23,3 +25,21 @@ def test_join_ends_when_nothing_is_left(spark, monkeypatch):
     got = ngram_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [(i, 20, i) for i, _ in docs]
     assert len(rounds) == 1  # the groups were split, and compared once
+
+
+def test_terms_far_from_the_value(spark):
+    """A name that heads ten texts, beside the address in eight of them and far from it in two, and
+    one that is never beside it; words of the address alone are no terms."""
+    rnd = random.Random(4)
+    common = [f"word{chr(97 + i)}" for i in range(26)]
+    prose = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    docs = [(i, f"Hagelund {prose(60)} Storch {'' if i < 8 else prose(30)} hs@kontor.org") for i in range(10)]
+    docs += [(i, prose(40)) for i in range(10, 1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i in range(10):
+        assert not any(w in clean[i] for w in ("Hagelund", "Storch", "kontor"))
+        assert clean[i].count("word") == docs[i][1].count("word")
+    assert all(clean[i] == docs[i][1] for i in range(10, 1000))
+    report = {r.doc_id: r.n_term for r in pii.private_report(df).collect()}
+    assert all(report[i] == (2 if i < 10 else 0) for i, _ in docs)
