@@ -3,7 +3,7 @@
 
 import random
 
-from lakemill.llm import ngram_join, pii
+from lakemill.llm import fertility, ngram_join, pii
 
 
 def test_join_ends_when_nothing_is_left(spark, monkeypatch):
@@ -43,3 +43,30 @@ def test_terms_far_from_the_value(spark):
     assert all(clean[i] == docs[i][1] for i in range(10, 1000))
     report = {r.doc_id: r.n_term for r in pii.private_report(df).collect()}
     assert all(report[i] == (2 if i < 10 else 0) for i, _ in docs)
+
+
+def test_random_characters_are_junk(spark):
+    """With the bands as they are: letters, syllables and byte noise go, languages stay."""
+    rnd = random.Random(6)
+    low, consonants = "abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz"
+    mixed = low + low.upper() + "0123456789"
+    han, syllables = range(0x4E00, 0xA000), range(0xAC00, 0xD7A4)
+    noise = range(0x1F300, 0x1F600)  # four bytes each
+    junk = [low, consonants, mixed, *("".join(map(chr, r)) for r in (han, syllables, noise))]
+    docs = [
+        (i, " ".join("".join(rnd.choices(k, k=rnd.randint(3, 9))) for _ in range(400)))
+        for i, k in enumerate(junk)
+    ]
+    languages = [
+        "Việt Nam là một quốc gia nằm ở cực đông của bán đảo Đông Dương thuộc khu vực Đông Nam Á giáp "
+        "với Lào Campuchia Trung Quốc biển Đông và vịnh Thái Lan và thủ đô là Hà Nội còn thành phố lớn "
+        "nhất là Thành phố Hồ Chí Minh nơi người dân sống chủ yếu nhờ buôn bán",
+        "The committee met on a cold morning to decide whether the old bridge should be repaired or "
+        "replaced by a wider one that heavy lorries could use without slowing down in the town below",
+        "臺灣位於東亞，是一座島嶼，首都為臺北市，擁有豐富的歷史與文化遺產，經濟發達，科技產業聞名於世界",
+    ]
+    docs += [(10 + i, text) for i, text in enumerate(languages)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in fertility.measure_quality(df, min_words=1).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert {i: got[i].kept for i in got} == {i: i >= 10 for i in got}
