@@ -3,7 +3,7 @@
 
 import random
 
-from lakemill.llm import fertility, ngram_join, pii
+from lakemill.llm import fertility, ngram_join, passages, pii
 
 
 def test_join_ends_when_nothing_is_left(spark, monkeypatch):
@@ -70,3 +70,47 @@ def test_random_characters_are_junk(spark):
     got = {r.doc_id: r for r in fertility.measure_quality(df, min_words=1).collect()}
     assert not any(got[i].base_failed for i in got)
     assert {i: got[i].kept for i in got} == {i: i >= 10 for i in got}
+
+
+def covered(spark, docs):
+    """Words of each document in passages, and what remove_passages leaves."""
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in passages.shared_passages(df).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        assert 10 * r.n_equal >= 7 * (r.end_word - r.start_word)
+    return got, {r.doc_id: r.text for r in passages.remove_passages(df).collect()}
+
+
+def test_edited_passages(spark):
+    """50 to 80 words with every 8th to 10th changed: all are found, with their edges."""
+    docs, want = [], {}
+    for i, (size, step) in enumerate([(50, 10), (60, 10), (60, 9), (80, 8)] * 5):
+        words = [f"p{i}w{k}" for k in range(size)]
+        changed = [f"e{i}w{k}" if k % step == step - 1 else w for k, w in enumerate(words)]
+        docs.append((2 * i, " ".join([f"a{i}", *words, f"b{i}"])))
+        docs.append((2 * i + 1, " ".join([*(f"c{i}x{k}" for k in range(30)), *changed, f"d{i}"])))
+        want[2 * i + 1] = {30 + k for k in range(size)}
+    got, _ = covered(spark, docs)
+    assert set(got) == set(want)
+    for doc, places in want.items():
+        assert got[doc] <= places and len(places - got[doc]) <= 1  # a changed last word
+
+
+def test_all_places_of_a_passage(spark):
+    """A passage held twice; one whose first part stood before; halves from two documents."""
+    long = [f"l{k}" for k in range(100)]
+    part = [f"s{k}" for k in range(60)]
+    left, right = [f"h{k}" for k in range(25)], [f"r{k}" for k in range(25)]
+    own = lambda name, n: [f"{name}{k}" for k in range(n)]
+    docs = [
+        (1, long), (2, [*long, *own("u", 20), *long]),
+        (3, part), (4, [*part[:50], *own("v", 30), *part]),
+        (5, left), (6, [*left, *own("g", 3), *right]), (7, [*left, *own("z", 3), *right]),
+    ]
+    got, left_over = covered(spark, [(i, " ".join(t)) for i, t in docs])
+    assert got[2] == {*range(100), *range(120, 220)}
+    assert got[4] == {*range(50), *range(80, 140)}
+    assert got[7] == set(range(53))
+    assert left_over[2] == " ".join(own("u", 20)) and left_over[4] == " ".join(own("v", 30))
+    assert left_over[7] == ""
