@@ -16,9 +16,12 @@ from lakemill.llm import (
     ngram_join,
     passages,
     pii,
+    resample,
     revisits,
+    spelling,
     token_store,
     url_templates,
+    weighted_samples,
 )
 from lakemill.session import load, work_folder
 
@@ -292,3 +295,118 @@ def op8_warc_revisits(spark, sf_dir):
 @query("op6_collinear_passages")
 def op6_collinear_passages(spark, sf_dir):
     return passages.shared_passages(load(spark, sf_dir, "documents"))
+
+
+# The 16 steps of CRC-32 by half bytes; fixed values.
+_CRC = (
+    "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,"
+    " 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896,"
+    " 3183342108]"
+)
+
+
+def _crc32_sql(text: str) -> str:
+    half = f"xor(xor(c, b) >> 4, {_CRC}[(xor(c, b) & 15) + 1])"
+    return (
+        f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'),"
+        f" lambda h: ('0x' || h)::BIGINT), lambda c, b: xor({half} >> 4,"
+        f" {_CRC}[({half} & 15) + 1]), 4294967295), 4294967295)"
+    )
+
+
+_LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "op11_spelling_variants",
+    rf"""
+    WITH RECURSIVE raw_runs AS (
+        SELECT doc_id, run, count(*) AS k FROM (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+                   {_LOWER_SQL}) AS run FROM documents)
+        WHERE length(run) >= 7 GROUP BY doc_id, run
+    ), hashed AS (
+        SELECT run, k, {_crc32_sql("doc_id || ':' || run")} AS h FROM raw_runs
+    ), words AS (
+        SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:]
+                   ELSE run END AS word, k FROM hashed)
+        WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+    ), cuts AS (
+        SELECT word, n, i, word[:i] || word[i + 2:] AS cut
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+    ), near AS (
+        SELECT x.word, y.word AS other, y.n FROM cuts x JOIN cuts y
+               ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word
+        UNION SELECT x.word, y.word, y.n FROM cuts x JOIN words y ON x.cut = y.word
+        UNION SELECT y.word, x.word, x.n FROM cuts x JOIN words y ON x.cut = y.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS top
+        FROM near GROUP BY word
+    ), formed AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN other END AS form,
+               CASE WHEN top >= 10 * n THEN top END AS form_n
+        FROM words LEFT JOIN best USING (word)
+    ), ways AS (
+        SELECT word, word AS root, 0 AS steps FROM formed
+        UNION ALL
+        SELECT w.word, f.form, steps + 1 FROM ways w JOIN formed f ON f.word = w.root
+        WHERE f.form IS NOT NULL
+    ), ends AS (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+    """,
+)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(load(spark, sf_dir, "documents"))
+
+
+@query("op12_weighted_fingerprints")
+def op12_weighted_fingerprints(spark, sf_dir):
+    return weighted_samples.edit_report(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_target_resampling",
+    rf"""
+    WITH words AS (
+        SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER_SQL}),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        UNION ALL
+        SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER_SQL}),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+    ), counted AS (
+        SELECT side, doc_id, f, count(*) AS k FROM (
+            SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)),
+                   lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words)
+        GROUP BY side, doc_id, f
+    ), coded AS (
+        SELECT f, {_crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted)
+    ), held AS (
+        SELECT bucket, coalesce(sum(k) FILTER (side = 0), 0) AS s,
+               coalesce(sum(k) FILTER (side = 1), 0) AS t
+        FROM counted JOIN coded USING (f) GROUP BY bucket
+    ), gains AS (
+        SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE)
+               / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+        FROM held, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM held)
+    ), weighed AS (
+        SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_features,
+               CAST(floor(sum(k * gain)::DOUBLE / sum(k)::DOUBLE) AS BIGINT) AS weight
+        FROM counted JOIN coded USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+    ), scored AS (
+        SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features,
+               coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+               (('0x' || sha256('7:' || w.doc_id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+               AS BIGINT) AS score
+        FROM words w LEFT JOIN weighed USING (doc_id) WHERE w.side = 0
+    ), placed AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+               count(*) OVER () AS able FROM scored WHERE n_words >= 20
+    )
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN place <= 25 * able // 100 THEN place END AS rank
+    FROM scored LEFT JOIN placed USING (doc_id)
+    """,
+)
+def op13_target_resampling(spark, sf_dir):
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
