@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import scalars as S
 from lakemill.functions.text import STOP_WORDS, inverted_index, search
-from lakemill.functions.vectors import top_k
+from lakemill.functions.vectors import build_index, search_index, top_k
 from lakemill.plans.registry import query
+from lakemill.session import work_folder
 
 C = F.col
 
@@ -54,6 +55,24 @@ def vec_top_k(t):
     return best.withColumn("score", F.round("score", 5))
 
 
+@query(
+    "vec_top_k_index",
+    "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+    " SELECT query_id, vec_id, ROUND(score, 5) AS score FROM (SELECT q.vec_id AS query_id,"
+    " v.vec_id, list_cosine_similarity(v.e, q.e) AS score, row_number() OVER (PARTITION BY"
+    " q.vec_id ORDER BY list_cosine_similarity(v.e, q.e) DESC, v.vec_id) AS r FROM v, v q"
+    " WHERE q.vec_id % 50 = 0) WHERE r <= 10",
+)
+def vec_top_k_index(t):
+    """The ten nearest vectors to every fiftieth vector, through buckets stored for the search."""
+    index = build_index(
+        t.embeddings, "vec_id", "embedding", 64, work_folder(t.spark, "vector-index")
+    )
+    asked = t.embeddings.filter(C("vec_id") % 50 == 0)
+    queries = asked.select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
+    return search_index(index, queries, 10).withColumn("score", F.round("score", 5))
+
+
 # Appointments generated per customer: a number list of three and values fixed by key and number.
 def _rnd(key: str, seed: int, bound: int) -> str:
     mixed = f"((({key}) % 2147483647 * 48271 + {seed * 7919}) % 2147483647)"
