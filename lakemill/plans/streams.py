@@ -21,27 +21,39 @@ def stream(t, name):
     return J.read_files(t.spark, f"{t.dir}/{name}[.]parquet", SCHEMAS[name])
 
 
-# Events as changes of a text per user: sign-ups insert, errors delete, all others update.
+# Events as changes of a text per user, in three parts that overlap in time: sign-ups insert,
+# errors delete, larger purchases move the row to another key, all others update.
+PARTS = 3
 CHANGES_SQL = (
-    "SELECT event_id AS seq, user_id AS key, CASE event_type WHEN 'signup' THEN 'insert'"
-    " WHEN 'error' THEN 'delete' ELSE 'update' END AS op, CASE WHEN event_type = 'click' AND"
-    " value > 10 THEN NULL WHEN event_type = 'view' AND value < 5 THEN props ELSE event_type END"
-    " AS old_text, props AS text FROM events"
+    f"SELECT event_id AS seq, event_id % {PARTS} AS part, user_id AS key, CASE event_type WHEN"
+    " 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, CASE WHEN"
+    " event_type = 'purchase' AND value > 60 THEN user_id + 1000000 ELSE user_id END AS new_key,"
+    " CASE WHEN event_type = 'click' AND value > 10 THEN NULL WHEN event_type = 'view' AND value < 5"
+    " THEN props ELSE event_type END AS old_text, props AS text FROM events"
 )
 COPY_SQL = (
-    "SELECT key, text FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r"
-    f" FROM ({CHANGES_SQL}) WHERE op <> 'update' OR old_text <> text) WHERE r = 1 AND"
-    " op <> 'delete'"
+    f"WITH c AS ({CHANGES_SQL}), e AS (SELECT key, seq, part, text, CASE op WHEN 'insert' THEN 'in'"
+    " WHEN 'delete' THEN 'out' ELSE 'set' END AS kind FROM c WHERE op <> 'update' OR (key = new_key"
+    " AND old_text <> text) UNION ALL SELECT key, seq, part, text, 'out' FROM c WHERE op = 'update'"
+    " AND key <> new_key UNION ALL SELECT new_key, seq, part, text, 'in' FROM c WHERE op = 'update'"
+    " AND key <> new_key), base AS (SELECT * FROM e WHERE kind <> 'set' QUALIFY row_number() OVER"
+    " (PARTITION BY key ORDER BY seq DESC) = 1), change AS (SELECT * FROM e WHERE kind = 'set'"
+    " QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), copy AS (SELECT b.key,"
+    " CASE WHEN c.seq > b.seq THEN c.text ELSE b.text END AS text, CASE WHEN c.seq > b.seq THEN"
+    " greatest(b.part, c.part) ELSE b.part END AS changed_in FROM base b LEFT JOIN change c ON"
+    " c.key = b.key WHERE b.kind = 'in')"
 )
 
 
 def text_changes(t):
-    kind, value = C("event_type"), C("value")
-    return stream(t, "events").select(
+    kind, value, user = C("event_type"), C("value"), C("user_id")
+    moved = (kind == "purchase") & (value > 60)
+    return t.events.select(
         C("event_id").alias("seq"),
-        C("user_id").alias("key"),
+        user.alias("key"),
         F.when(kind == "signup", "insert").when(kind == "error", "delete").otherwise("update")
         .alias("op"),
+        F.when(moved, user + 1000000).otherwise(user).alias("new_key"),
         F.when((kind == "click") & (value > 10), None)
         .when((kind == "view") & (value < 5), C("props"))
         .otherwise(kind)
@@ -50,23 +62,31 @@ def text_changes(t):
     )
 
 
+def in_parts(t, rows, part, run):
+    """Write the parts of `rows` one after another into a folder and call `run(stream)` after
+    each: a job that stops and starts again, a batch a part."""
+    source = work_folder(t.spark, "arriving")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    for i in range(PARTS):
+        rows.filter(part == i).write.mode("append").parquet(source)
+        run(J.read_files(t.spark, source, schema))
+
+
 def synced(t, purpose):
     output = work_folder(t.spark, purpose)
-    J.sync_text(text_changes(t), output)
+    in_parts(t, text_changes(t), C("seq") % PARTS, lambda s: J.sync_text(s, output))
     return J.read_copy(t.spark, output)
 
 
-@query("stm_sync_text", COPY_SQL)
+@query("stm_sync_text", f"{COPY_SQL} SELECT key, text FROM copy")
 def sync_text(t):
     return synced(t, "sync-text").select("key", "text")
 
 
-@query("stm_touch_updated", f"SELECT key, TRUE AS stamped FROM ({COPY_SQL})")
+@query("stm_touch_updated", f"{COPY_SQL} SELECT key, CAST(changed_in AS BIGINT) AS changed_in FROM copy")
 def touch_updated(t):
-    """Every row carries the time of the batch that last changed it."""
-    rows = synced(t, "touched")
-    fresh = C("last_update").between(F.lit("2024-01-01").cast("timestamp"), F.current_timestamp())
-    return rows.select("key", fresh.alias("stamped"))
+    """Every row carries the number of the batch that last changed it."""
+    return synced(t, "touched").select("key", "changed_in")
 
 
 @query(
@@ -84,6 +104,17 @@ def token_index(t):
     )
 
 
+ALLOWED_DAYS = 365
+
+
+def payments(orders):
+    return orders.select("o_orderkey", "o_orderdate", money("o_totalprice").alias("amount"))
+
+
+def paid_in():
+    return period_column(F.to_date("o_orderdate"), month_bounds(1996, 1999), "1996-01-01")
+
+
 @query(
     "stm_monthly_payments",
     "SELECT CASE WHEN year(o_orderdate) BETWEEN 1996 AND 1999 THEN strftime(o_orderdate, '%Y-%m')"
@@ -91,13 +122,41 @@ def token_index(t):
     " DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount FROM orders GROUP BY 1",
 )
 def monthly_payments(t):
-    payments = stream(t, "orders").select(
-        "o_orderkey", "o_orderdate", money("o_totalprice").alias("amount")
+    """Late rows belong to their period as well; they only stand in folders of their own."""
+    output = work_folder(t.spark, "payments")
+    paid = payments(stream(t, "orders"))
+    J.partition_on_time(paid, output, paid_in(), "o_orderdate", ALLOWED_DAYS)
+    return (
+        J.read_placed(t.spark, output, paid.schema)
+        .groupBy("period")
+        .agg(row_count().alias("n"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
     )
-    period = period_column(F.to_date("o_orderdate"), month_bounds(1996, 1999), "1996-01-01")
-    stored = J.partition_rows(payments, work_folder(t.spark, "payments"), period)
-    return stored.groupBy("period").agg(
-        row_count().alias("n"), F.sum("amount").cast("decimal(28,2)").alias("amount")
+
+
+LATE_SQL = (
+    f"WITH p AS (SELECT o_orderkey % {PARTS} AS batch, o_orderdate, CAST(o_totalprice AS"
+    " DECIMAL(18,2)) AS amount FROM orders), marks AS (SELECT b.batch, (SELECT max(o_orderdate)"
+    " FROM p WHERE p.batch < b.batch) AS mark FROM (SELECT DISTINCT batch FROM p) b)"
+    f" SELECT CAST(p.batch AS BIGINT) AS batch, coalesce(o_orderdate < mark - INTERVAL {ALLOWED_DAYS} DAY,"
+    " FALSE) AS late, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(28,2)) AS amount FROM p JOIN marks"
+    " USING (batch) GROUP BY 1, 2"
+)
+
+
+@query("stm_late_payments", LATE_SQL)
+def late_payments(t):
+    """Payments that come in parts: those before the watermark of their batch, counted aside."""
+    output = work_folder(t.spark, "late-payments")
+    paid = payments(t.orders)
+
+    def run(part):
+        J.partition_on_time(part, output, paid_in(), "o_orderdate", ALLOWED_DAYS)
+
+    in_parts(t, paid, C("o_orderkey") % PARTS, run)
+    return (
+        J.read_placed(t.spark, output, paid.schema)
+        .groupBy("batch", "late")
+        .agg(row_count().alias("n"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
     )
 
 
@@ -109,7 +168,7 @@ def monthly_payments(t):
 )
 def incremental_mv(t):
     output = work_folder(t.spark, "month-sales")
-    J.incremental_sums(
+    J.running_sums(
         stream(t, "lineitem"),
         output,
         [F.date_format("l_shipdate", "yyyy-MM").alias("month")],
@@ -118,9 +177,5 @@ def incremental_mv(t):
             "quantity": F.sum(C("l_quantity").cast("bigint")),
         },
     )
-    stored = J.read_batches(
-        t.spark, output, "month string, dollars decimal(28,2), quantity bigint"
-    )
-    return stored.groupBy("month").agg(
-        F.sum("dollars").cast("decimal(28,2)").alias("dollars"), F.sum("quantity").alias("quantity")
-    )
+    schema = "month string, dollars decimal(28,2), quantity bigint"
+    return J.read_totals(t.spark, output, schema, ["month"])
