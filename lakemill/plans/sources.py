@@ -128,20 +128,49 @@ def sql_dump(t):
     )
 
 
+@query(
+    "src_sql_dump_texts",
+    "SELECT doc_id, replace(text, '. ', ';' || chr(10) || '''') AS text, lang FROM documents",
+)
+def sql_dump_texts(t):
+    """Texts that hold statement ends and quotes; statements are found over byte ranges."""
+    path = work_folder(t.spark, "document-dump")
+    ended = F.replace("text", F.lit(". "), F.lit(";\n'"))
+    rows = spread(t.documents.select("doc_id", ended.alias("text"), "lang"))
+    kinds = {"doc_id": "int", "text": "text", "lang": "text"}
+    dumps.write_dump(rows, path, "document", kinds, "mysql")
+    schema = "doc_id bigint, text string, lang string"
+    return dumps.read_inserts(t.spark, path, "document", schema, None, "mysql")
+
+
+@query(
+    "src_csv_multiline",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, '. ', '\"' || chr(10) || ',') AS text"
+    " FROM documents",
+)
+def csv_multiline(t):
+    """Quoted fields with line breaks, quotes and commas, from files that many tasks read."""
+    path = work_folder(t.spark, "document-csv")
+    broken = F.replace("text", F.lit(". "), F.lit('"\n,'))
+    spread(t.documents.select("doc_id", broken.alias("text"))).write.csv(
+        path, header=True, escape='"', quoteAll=True,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return D.read_csv_records(t.spark, path)
+
+
 @query(
     "snk_sql_dump",
-    "SELECT COUNT(*) AS row_count, CAST(SUM(length('  (' || c_custkey || ', ''' || c_name ||"
-    " ''', ' || c_nationkey || ', ' || CAST(c_acctbal AS DECIMAL(18,2)) || ', ''' ||"
-    f" replace({NOTE_SQL}, '''', '''''') || ''')')) AS BIGINT) AS chars FROM customer",
+    "SELECT '  (' || c_custkey || ', ''' || c_name || ''', ' || c_nationkey || ', ' ||"
+    f" CAST(c_acctbal AS DECIMAL(18,2)) || ', ''' || replace({NOTE_SQL}, '''', '''''') || ''')'"
+    " AS line FROM customer",
 )
 def sql_dump_sink(t):
-    """Rows and characters of the written tuples; how rows fall into statements depends on the
-    partitions."""
+    """The written tuples; how rows fall into statements depends on the partitions."""
     path = work_folder(t.spark, "dump-out")
     dumps.write_dump(noted_customers(t), path, "customer", CUSTOMER_KINDS)
-    body = F.regexp_replace("value", r"[,;]$", "")
     tuples = t.spark.read.text(path).filter(~C("value").startswith("INSERT INTO"))
-    return tuples.agg(row_count().alias("row_count"), F.sum(F.length(body)).alias("chars"))
+    return tuples.select(F.regexp_replace("value", r"[,;]$", "").alias("line"))
 
 
 @query(

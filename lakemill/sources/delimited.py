@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.scalars import null_tokens
+from lakemill.sources.records import csv_grammar, read_records
 
 NUMERIC = (T.IntegerType, T.LongType, T.DoubleType, T.DecimalType)
 
@@ -25,6 +27,27 @@ def read_staged_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return trimmed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
+def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Text columns of CSV files whose quoted fields may hold line breaks, quotes doubled.
+
+    Records are found over byte ranges (`records.read_records`), so a large file is read by many
+    tasks; a line-break pair in a field stays as it is. Every file begins with the same header.
+    """
+    records = read_records(spark, path, csv_grammar())
+    line = F.regexp_replace("value", r"\r?\n$", "")
+    first = records.filter("no = 0").select(F.regexp_replace(line, "^\ufeff", "").alias("h"))
+    names = [r.h for r in first.distinct().limit(2).collect()]
+    if not names:
+        raise ValueError(f"no header in {path}")
+    if len(names) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    options = {"quote": '"', "escape": '"'}
+    header = next(csv.reader([names[0]]))
+    kind = ", ".join(f"c{i} string" for i in range(len(header)))
+    rows = records.filter("no > 0").select(F.from_csv(line, kind, options).alias("r"))
+    return rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(header)])
+
+
 def read_named_csv(
     spark: SparkSession,
     path: str,
@@ -33,9 +56,12 @@ def read_named_csv(
     multi_line: bool = False,
 ) -> DataFrame:
     """Text columns by header name, lower-cased and renamed; NULL tokens are NULL; a column the
-    file lacks is NULL. Spark removes a byte-order mark. Quoted values with line breaks need
-    `multi_line`, which reads each file in one task."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
+    file lacks is NULL. A byte-order mark is removed. Quoted values with line breaks need
+    `multi_line`, which finds the records first (`read_csv_records`)."""
+    if multi_line:
+        raw = read_csv_records(spark, path)
+    else:
+        raw = spark.read.csv(path, header=True, quote='"', escape='"')
     rename = rename or {}
     lower = {c: c.strip().lower() for c in raw.columns}
     found = {rename.get(low, low): c for c, low in lower.items()}

@@ -10,45 +10,90 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.scalars import TRUE_TOKENS, date_text, pad_time
+from lakemill.sources.records import read_records, sql_grammar
+
+
+
+def _patterns(escapes: bool) -> tuple[str, str, str]:
+    """A tuple (group 1: its values), a value (group 1) and a row of INSERT ALL. A quoted text
+    holds doubled quotes and, with `escapes`, backslash escapes; a value may be a call. Possessive
+    groups do not backtrack."""
+    extra, plain = (r"|\\.", r"\\") if escapes else ("", "")
+    texts = "|".join(f"{q}(?:[^{q}{plain}]++|{q}{q}{extra})*+{q}" for q in ("'", '"'))
+    call = rf"\((?:[^'\"()]++|{texts})*+\)"
+    body = rf"(?:[^'\"()]++|{texts}|{call})*+"
+    value = rf"(?s)\s*((?:[^,'\"()]++|{texts}|{call})*+)(?:,|$)"
+    row = rf"(?is)\bINTO\s+{_NAME}\s*(?:\([^)]*\))?\s*VALUES\s*\({body}\)"
+    return rf"(?s)\(({body})\)", value, row
+
 
-# A quoted text holds doubled quotes and backslash escapes; possessive groups do not backtrack.
-_SINGLE = r"'(?:[^'\\]++|''|\\.)*+'"
-_DOUBLE = r'"(?:[^"\\]++|""|\\.)*+"'
-_TUPLE = rf"(?s)\(((?:[^'\"()]++|{_SINGLE}|{_DOUBLE})*+)\)"
-_VALUE = rf"(?s)\s*({_SINGLE}|{_DOUBLE}|[^,]*)\s*(?:,|$)"
 # Comments and batch words may stand between two statements.
 _BETWEEN = r"(?:\s++|--[^\n]*+|#[^\n]*+|/\*.*?\*/;?|GO\b)*+"
-_HEAD = (
-    rf"(?is)^{_BETWEEN}INSERT\s+INTO\s+"
-    r"[`\"\[]?(\w+)[`\"\]]?\s*(?:\(([^)]*)\))?\s*VALUES"
-)
+_PART = r"[`\"\[]?\w++[`\"\]]?"
+_NAME = rf"(?:{_PART}\s*\.\s*)*{_PART}"
+_INTO = rf"INTO\s+({_NAME})\s*(?:\(([^)]*)\))?\s*VALUES"
+_HEAD = rf"(?is)^{_BETWEEN}INSERT\s+(?:IGNORE\s+)?{_INTO}"
+_ANY_INTO = rf"(?is)^{_BETWEEN}INSERT\s+(?:IGNORE\s+)?INTO\s+({_NAME})"
+_ANY = rf"(?is)^{_BETWEEN}INSERT\b"
+_ALL = rf"(?is)^{_BETWEEN}INSERT\s+ALL\b"
+_ALL_REST = rf"(?is)^{_BETWEEN}INSERT\s+ALL\s+SELECT\b[^;]*;?\s*$"
+# Literals with a type before them, and a date made of its text.
+_TYPED = r"(?is)^(?:N|DATE\s*|TIMESTAMP\s*)(?=')"
+_MADE_DATE = r"(?is)^TO_(?:DATE|TIMESTAMP)\s*\(\s*('(?:[^']|'')*')\s*,.*\)$"
 
 # Statement sizes of the target dialects.
 BATCH = {"oracle": 100}
 DEFAULT_BATCH = 500
 
 
-def unquote(token: Column) -> Column:
-    """Value of one literal as text; NULL for a bare NULL or nothing."""
-    t = F.trim(token)
+def unquote(token: Column, escapes: bool = True) -> Column:
+    """Value of one literal as text; NULL for a bare NULL or nothing. `N'..'`, `DATE '..'` and
+    `TO_DATE('..', ..)` are their text; with `escapes` a backslash is dropped before a character."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(token), _TYPED, ""), _MADE_DATE, "$1")
     first = F.substring(t, 1, 1)
     body = F.substr(t, F.lit(2), F.length(t) - 2)
     single = F.replace(body, F.lit("''"), F.lit("'"))
     double = F.replace(body, F.lit('""'), F.lit('"'))
     plain = F.when(first == "'", single).otherwise(double)
+    text = F.regexp_replace(plain, r"(?s)\\(.)", "$1") if escapes else plain
     return (
-        F.when(first.isin("'", '"'), F.regexp_replace(plain, r"(?s)\\(.)", "$1"))
+        F.when(first.isin("'", '"'), text)
         .when((t == "") | (F.upper(t) == "NULL"), None)
         .otherwise(t)
     )
 
 
-def whole_tuples(body: Column) -> Column:
+def one_table_each(statement: Column, row: str) -> Column:
+    """The statement itself, or the rows of an INSERT ALL as statements of their own; an error for
+    an INSERT ALL that is more than rows and a SELECT."""
+    rows = F.regexp_extract_all(statement, F.lit(row), F.lit(0))
+    message = F.concat(F.lit("not a list of rows: "), F.substring(statement, 1, 200))
+    read = F.when(
+        F.regexp_replace(statement, row, "").rlike(_ALL_REST),
+        F.transform(rows, lambda r: F.concat(F.lit("INSERT "), r)),
+    ).otherwise(F.raise_error(message).cast("array<string>"))
+    return F.when(statement.rlike(_ALL), read).otherwise(F.array(statement))
+
+
+def table_name(statement: Column) -> Column:
+    """Lower-case name of the table that a statement inserts rows into, without schema and quotes;
+    empty for other statements. An INSERT that names no table is an error."""
+    name = F.regexp_extract(statement, _ANY_INTO, 1)
+    last = F.element_at(F.split(F.regexp_replace(name, r'[`"\[\]\s]', ""), r"\."), -1)
+    message = F.concat(F.lit("not an INSERT that can be read: "), F.substring(statement, 1, 200))
+    return (
+        F.when(~statement.rlike(_ANY), "")
+        .when(name == "", F.raise_error(message).cast("string"))
+        .otherwise(F.lower(last))
+    )
+
+
+def whole_tuples(body: Column, pattern: str) -> Column:
     """The tuples of a VALUES clause; an error if anything else is left between them."""
-    rest = F.regexp_replace(body, _TUPLE, "")
+    rest = F.regexp_replace(body, pattern, "")
     message = F.concat(F.lit("not a list of tuples: "), F.substring(body, 1, 200))
     return F.when(
-        rest.rlike(r"^[\s,;]*$"), F.regexp_extract_all(body, F.lit(_TUPLE))
+        rest.rlike(r"^[\s,;]*$"), F.regexp_extract_all(body, F.lit(pattern))
     ).otherwise(F.raise_error(message).cast("array<string>"))
 
 
@@ -57,23 +102,35 @@ def read_inserts(
     path: str,
     table: str,
     schema: str,
-    statement_end: str = ";\n",
+    statement_end: str | None = ";\n",
+    dialect: str | None = None,
 ) -> DataFrame:
     """Rows of the INSERT statements for one table, cast to `schema`.
 
-    The file is split at statement ends, so one large dump is read by many tasks and no
-    statement list is held. A statement's own column list decides where a value goes;
-    a column it lacks is NULL; without a list the values come in schema order.
-    A statement that is not made of whole tuples fails the load: no row is lost unseen, not
-    even where a text holds the statement end itself (name a longer one then).
+    The file is split at `statement_end`, so one large dump is read by many tasks and no
+    statement list is held. Where texts may hold it, give None: statements then end at a `;`
+    outside of quotes and comments, found over byte ranges (`records.read_records`).
+    A statement's own column list decides where a value goes; a column it lacks is NULL; without a
+    list the values come in schema order. INSERT ALL is read row by row; schema names before the
+    table are ignored. A backslash escapes unless `dialect` is one where it does not.
+    An INSERT into the table that is not made of whole tuples, or one of unknown form, fails the
+    load: no row is lost unseen.
     """
     target = T.StructType.fromDDL(schema)
-    statements = spark.read.text(path, lineSep=statement_end)
-    head = statements.select(
-        F.lower(F.regexp_extract("value", _HEAD, 1)).alias("t"),
+    escapes = dialect in (None, "mysql")
+    whole, value, row = _patterns(escapes)
+    if statement_end is None:
+        found = read_records(spark, path, sql_grammar(escapes)).select("value")
+    else:
+        found = spark.read.text(path, lineSep=statement_end)
+    statements = found.select(F.explode(one_table_each(F.col("value"), row)).alias("value"))
+    message = F.concat(F.lit("not a list of tuples: "), F.substring("value", 1, 200))
+    head = statements.filter(table_name(F.col("value")) == table.lower()).select(
         F.regexp_extract("value", _HEAD, 2).alias("c"),
-        F.regexp_replace("value", _HEAD, "").alias("body"),
-    ).filter(F.col("t") == table.lower())
+        F.when(F.col("value").rlike(_HEAD), F.regexp_replace("value", _HEAD, ""))
+        .otherwise(F.raise_error(message).cast("string"))
+        .alias("body"),
+    )
     names = F.transform(
         F.split("c", ","), lambda n: F.lower(F.regexp_replace(n, r"[\s`\"\[\]]", ""))
     )
@@ -85,10 +142,12 @@ def read_inserts(
     tuples = (
         head.withColumn("names", names)
         .select(F.when(F.col("c") == "", in_order).otherwise(listed).alias("at"), "body")
-        .select("at", F.explode(whole_tuples(F.col("body"))).alias("tuple"))
+        .select("at", F.explode(whole_tuples(F.col("body"), whole)).alias("tuple"))
     )
     # Where the tuple ends the pattern also matches an empty rest; positions ignore it.
-    texts = F.transform(F.regexp_extract_all("tuple", F.lit(_VALUE)), unquote)
+    texts = F.transform(
+        F.regexp_extract_all("tuple", F.lit(value)), lambda t: unquote(t, escapes)
+    )
     values = tuples.select("at", texts.alias("v"))
     values = values.select(F.transform("at", lambda i: F.get("v", i)).alias("v"))
 
