@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.scalars import key_value
@@ -179,51 +181,162 @@ def drop_sparse(df: DataFrame, limit: float) -> DataFrame:
     return df.drop(*sparse)
 
 
-def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Per column: rows, NULLs, distinct values, lowest, highest and mean, as text or double.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _numeric(df: DataFrame) -> set[str]:
+    return {c for c, kind in df.dtypes if kind in NUMBERS or kind.startswith("decimal")}
+
+
+def _shown(kind: str, c: Column) -> Column:
+    """A value that can be compared and hashed: nested ones as JSON."""
+    return F.to_json(c) if kind.startswith(("array", "map", "struct")) else c
+
+
+def _hashed(kind: str, c: Column) -> Column:
+    """What a distinct sketch takes; other types go in as their text."""
+    return c if kind in ("int", "bigint", "string") else _shown(kind, c).cast("string")
+
+
+def sketch_columns(df: DataFrame) -> list[Column]:
+    """Aggregates: rows, and per column NULLs, lowest, highest, a sketch of its distinct values, and
+    for numbers their sum and a sketch of their quantiles. Sums are exact with six decimals where
+    all values fit into 32 digits before the point, otherwise double."""
+    numeric = _numeric(df)
+    made = [row_count().alias("n")]
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        made += [
+            F.count_if(c.isNull()).alias(f"{name}__nulls"),
+            F.min(_shown(kind, c)).alias(f"{name}__lowest"),
+            F.max(_shown(kind, c)).alias(f"{name}__highest"),
+            F.hll_sketch_agg(_hashed(kind, c)).alias(f"{name}__distinct"),
+        ]
+        if name in numeric:
+            exact = c.try_cast("decimal(38,6)")
+            made += [
+                F.when(F.count(exact) == F.count(c), F.try_sum(exact)).alias(f"{name}__sum"),
+                F.sum(c.cast("double")).alias(f"{name}__rough"),
+                F.kll_sketch_agg_double(c.cast("double")).alias(f"{name}__ranks"),
+            ]
+    return made
 
-    Exact distinct counts group by value, one job per column, so no row is expanded; for wide
-    tables `exact=False` takes sketches within the single pass. Means are summed with six
-    decimals and shown with four.
+
+def file_sketches(df: DataFrame) -> DataFrame:
+    """The sketches of each file of a Parquet read: one pass, and one row a file."""
+    return df.withColumn("_file", F.col("_metadata.file_path")).groupBy("_file").agg(
+        *sketch_columns(df)
+    )
+
+
+def add_sketches(spark: SparkSession, table: str, schema: str, path: str) -> DataFrame:
+    """Store the sketches of the files of `table` that have none yet at `path`; returns all.
+
+    A file is read once in its life. The names of files, which the driver lists to plan any read,
+    decide which are new.
     """
-    whole = ("tinyint", "smallint", "int", "bigint")
-    numeric = {
-        c
-        for c, kind in df.dtypes
-        if kind in (*whole, "double", "float") or kind.startswith("decimal")
-    }
-    total = df.agg(row_count()).scalar()
-
-    def one(column):
-        c = F.col(column)
-        mean = F.avg(c) if column in numeric else F.lit(None).cast("double")
-        if exact:
-            values = df.groupBy(c.alias("v")).agg(row_count().alias("n"))
-            v = F.col("v")
-            weighted = (
-                F.sum(v.cast("decimal(24,6)") * F.col("n").cast("decimal(12,0)")).cast("double")
-                / F.sum(F.when(v.isNotNull(), F.col("n")))
-                if column in numeric
-                else F.lit(None).cast("double")
-            )
-            stats = values.agg(
-                F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-                F.count("v").alias("distinct_values"),
-                F.min("v").cast("string").alias("lowest"),
-                F.max("v").cast("string").alias("highest"),
-                F.round(weighted, 4).alias("mean"),
-            )
-        else:
-            stats = df.agg(
-                F.count_if(c.isNull()).alias("nulls"),
-                F.approx_count_distinct(c).alias("distinct_values"),
-                F.min(c).cast("string").alias("lowest"),
-                F.max(c).cast("string").alias("highest"),
-                F.round(mean, 4).alias("mean"),
+    def plain(name: str) -> str:
+        """One spelling of a file's name: listings differ in slashes and escapes."""
+        return unquote(re.sub(r"^(\w+):/+", r"\1:/", name))
+
+    files = {plain(f): f for f in spark.read.schema(schema).parquet(table).inputFiles()}
+    probe = file_sketches(spark.read.schema(schema).parquet(table))
+    try:
+        stored = spark.read.schema(probe.schema).parquet(path)
+        known = {plain(r._file) for r in stored.select("_file").collect()}
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        known = set()
+    fresh = [f for name, f in sorted(files.items()) if name not in known]
+    if fresh:
+        new = file_sketches(spark.read.schema(schema).parquet(*fresh))
+        new.write.mode("append").parquet(path)
+    return spark.read.schema(probe.schema).parquet(path)
+
+
+def merged_profile(sketches: DataFrame, quantiles: Sequence[float] = (0.5,)) -> DataFrame:
+    """Per column: rows, NULLs, distinct values (estimated), lowest and highest as text, mean, and
+    quantiles (estimated, NULL for what is no number), from any set of file sketches.
+
+    The profile of a table is that of all its files; sketches of two halves give the same rows,
+    NULLs, bounds and means as those of the whole, and estimates within the sketches' error.
+    """
+    columns = [c.removesuffix("__nulls") for c in sketches.columns if c.endswith("__nulls")]
+    made = [F.sum("n").alias("n")]
+    for c in columns:
+        made += [
+            F.sum(f"{c}__nulls").alias(f"{c}__nulls"),
+            F.min(f"{c}__lowest").alias(f"{c}__lowest"),
+            F.max(f"{c}__highest").alias(f"{c}__highest"),
+            F.hll_sketch_estimate(F.hll_union_agg(f"{c}__distinct")).alias(f"{c}__distinct"),
+        ]
+        if f"{c}__sum" in sketches.columns:
+            every = F.count(f"{c}__sum") == F.count(F.when(F.col("n") > F.col(f"{c}__nulls"), 1))
+            exact = F.when(every, F.try_sum(f"{c}__sum").cast("double"))
+            made += [
+                F.coalesce(exact, F.sum(f"{c}__rough")).alias(f"{c}__sum"),
+                F.kll_merge_agg_double(f"{c}__ranks").alias(f"{c}__ranks"),
+            ]
+    merged = sketches.agg(*made)
+
+    def row(c: str) -> Column:
+        number = f"{c}__sum" in sketches.columns
+        present = F.col("n") - F.col(f"{c}__nulls")
+        mean = F.lit(None).cast("double")
+        ranks = F.lit(None).cast("array<double>")
+        if number:
+            mean = F.when(present > 0, F.round(F.col(f"{c}__sum") / present, 4))
+            ranks = F.when(
+                present > 0,
+                F.array(*[F.kll_sketch_get_quantile_double(f"{c}__ranks", F.lit(q)) for q in quantiles]),
             )
-        return stats.select(F.lit(column).alias("column_name"), total.alias("n"), "*")
+        return F.struct(
+            F.lit(c).alias("column_name"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+            F.coalesce(f"{c}__nulls", F.lit(0)).alias("nulls"),
+            F.coalesce(f"{c}__distinct", F.lit(0)).alias("distinct_values"),
+            F.col(f"{c}__lowest").cast("string").alias("lowest"),
+            F.col(f"{c}__highest").cast("string").alias("highest"),
+            mean.alias("mean"),
+            ranks.alias("quantiles"),
+        )
+
+    return merged.select(F.explode(F.array(*[row(c) for c in columns])).alias("r")).select("r.*")
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(column_name, distinct_values), exact: values are made distinct per task and column, then
+    counted, all columns in one shuffle of (column, hash) pairs of 128 bits."""
+    pairs = [
+        F.when(
+            F.col(f"`{c}`").isNotNull(),
+            F.struct(F.lit(c).alias("column_name"), _hash_pair(_shown(kind, F.col(f"`{c}`"))).alias("v")),
+        )
+        for c, kind in df.dtypes
+    ]
+    values = df.select(F.explode(F.array(*pairs)).alias("p")).filter("p IS NOT NULL").select("p.*")
+    counted = values.distinct().groupBy("column_name").agg(row_count().alias("distinct_values"))
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
+    return every.join(counted, "column_name", "left").na.fill(0, ["distinct_values"])
+
 
-    return reduce(DataFrame.unionByName, [one(c) for c in df.columns])
+def _hash_pair(c: Column) -> Column:
+    text = c.cast("string")
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+
+
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Per column: rows, NULLs, distinct values, lowest, highest and mean, as text or double.
+
+    One pass over the rows of a Parquet read or any other table. Distinct counts are estimated by
+    sketches; with `exact` they are counted, in one more pass and shuffle. Means are summed with
+    six decimals, where values fit, and shown with four.
+    """
+    found = merged_profile(df.agg(*sketch_columns(df))).drop("quantiles")
+    if not exact:
+        return found
+    return found.drop("distinct_values").join(distinct_counts(df), "column_name").select(*found.columns)
 
 
 # ---------------------------------------------------------------------------------- proof
@@ -253,20 +366,17 @@ def missing_members(df: DataFrame, column: str, required: DataFrame, name: str)
     return required.join(df.select(F.col(column).alias(name)).distinct(), name, "left_anti")
 
 
-def gather_stats(df: DataFrame, path: str) -> DataFrame:
-    """Save a table at `path`, compute its table and column statistics, and list them.
+def gather_stats(df: DataFrame) -> DataFrame:
+    """(column_name, info_name, info_value): NULLs and exact distinct values of every column.
 
-    The statistics live in the catalog, where the optimiser reads them for its join order;
-    the listing is a copy of them.
+    Nothing is saved: the table is not copied, and the catalog is not touched.
     """
-    spark = df.sparkSession
-    table = f"stats_{uuid.uuid4().hex}"
-    df.write.option("path", path).saveAsTable(table)
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
-    parts = [
-        spark.sql(f"DESCRIBE EXTENDED {table} {c}").withColumn("column_name", F.lit(c))
-        for c in df.columns
-    ]
-    return reduce(DataFrame.unionByName, parts).filter(
-        "info_name IN ('num_nulls', 'distinct_count')"
-    ).select("column_name", "info_name", "info_value")
+    found = profile(df, exact=True)
+    facts = F.explode(
+        F.create_map(
+            F.lit("num_nulls"), F.col("nulls"), F.lit("distinct_count"), F.col("distinct_values")
+        )
+    ).alias("info_name", "value")
+    return found.select("column_name", facts).select(
+        "column_name", "info_name", F.col("value").cast("string").alias("info_value")
+    )

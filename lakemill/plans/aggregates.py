@@ -215,14 +215,16 @@ def truncated_sql(source: str, keys: str, item: str, order: str, limit: int, nam
         "l_suppkey",
         "p_name",
         "l_orderkey, l_linenumber, l_partkey",
-        200,
+        4000,
         "items",
     ),
 )
 def agg_listagg_truncate(t):
-    lines = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey"))
+    """A supplier has some six hundred lines; their names pass 4,000 bytes."""
+    named = t.part.select("p_partkey", "p_name")
+    lines = t.lineitem.join(named, C("l_partkey") == C("p_partkey"))
     order = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return truncated_list(lines, ["l_suppkey"], "p_name", order, limit=200)
+    return truncated_list(lines, ["l_suppkey"], "p_name", order)
 
 
 GROUPED_SQL = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakemill.operators.hierarchy import resolve_roots
@@ -325,6 +326,27 @@ def join_interval(t):
     ).select("o_orderkey", "from_date", "to_date")
 
 
+@query(
+    "join_interval_keyed",
+    "WITH p AS (SELECT o_custkey, d AS from_date, lead(d) OVER (PARTITION BY o_custkey ORDER BY d)"
+    " AS to_date FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders))"
+    " SELECT l_orderkey, l_linenumber, l_partkey, o.o_custkey, from_date FROM lineitem JOIN orders o"
+    " ON l_orderkey = o_orderkey JOIN p ON p.o_custkey = o.o_custkey AND CAST(l_shipdate AS DATE)"
+    " >= from_date AND (to_date IS NULL OR CAST(l_shipdate AS DATE) < to_date)",
+)
+def join_interval_keyed(t):
+    """Each line with the period between two order days of its customer in which it was shipped;
+    the last period is open."""
+    days = t.orders.select("o_custkey", F.to_date("o_orderdate").alias("from_date")).distinct()
+    after = F.lead("from_date").over(Window.partitionBy("o_custkey").orderBy("from_date"))
+    periods = days.withColumn("to_date", after).withColumnRenamed("o_custkey", "holder")
+    lines = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "l_shipdate"
+    )
+    held = join_periods(lines, F.to_date("l_shipdate"), periods, keys={"o_custkey": "holder"})
+    return held.select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "from_date")
+
+
 @query(
     "join_recursive",
     "WITH RECURSIVE up(node, ptr, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer"

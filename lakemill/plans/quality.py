@@ -314,7 +314,7 @@ PROFILED = (
     ),
 )
 def dq_profile(t):
-    return Q.profile(t.orders.select(*[c for c, _ in PROFILED]))
+    return Q.profile(t.orders.select(*[c for c, _ in PROFILED]), exact=True)
 
 
 # ------------------------------------------------------------------------------- proof
@@ -369,20 +369,42 @@ def required_members(t):
     return Q.missing_members(t.customer, "c_custkey", required, "id")
 
 
+PRIORITY = "nullif(o_orderpriority, '5-LOW')"
+
+
 @query(
     "vfy_gather_stats",
-    "SELECT 'o_orderstatus' AS column_name, 'num_nulls' AS info_name,"
-    " CAST(COUNT(*) FILTER (WHERE o_orderstatus IS NULL) AS VARCHAR) AS info_value FROM orders"
-    " UNION ALL SELECT 'o_orderpriority', 'num_nulls', CAST(COUNT(*) FILTER (WHERE"
-    " o_orderpriority = '5-LOW') AS VARCHAR) FROM orders",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, 'num_nulls' AS info_name, CAST(COUNT(*) FILTER (WHERE {e} IS"
+        f" NULL) AS VARCHAR) AS info_value FROM orders UNION ALL SELECT '{c}', 'distinct_count',"
+        f" CAST(COUNT(DISTINCT {e}) AS VARCHAR) FROM orders"
+        for c, e in [(c, PRIORITY if c == "o_orderpriority" else c) for c, _ in PROFILED]
+    ),
 )
 def gather_stats(t):
-    """Statistics of a saved copy; distinct counts are sketches, so only NULLs are compared."""
-    rows = t.orders.select(
-        "o_orderstatus",
-        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"),
-    )
-    return Q.gather_stats(rows, work_folder(t.spark, "stats")).filter("info_name = 'num_nulls'")
+    """Statistics of every column of the orders, one of which has NULLs."""
+    noted = F.nullif("o_orderpriority", F.lit("5-LOW"))
+    return Q.gather_stats(t.orders.withColumn("o_orderpriority", noted))
+
+
+@query(
+    "dq_file_profile",
+    "SELECT unnest(['event_id', 'user_id', 'value']) AS column_name, n, 0 AS nulls, unnest(lowest) AS"
+    " lowest, unnest(mean) AS mean FROM (SELECT COUNT(*) AS n, [CAST(MIN(event_id) AS VARCHAR),"
+    " CAST(MIN(user_id) AS VARCHAR), CAST(MIN(value) AS VARCHAR)] AS lowest, [ROUND(AVG(event_id), 4),"
+    " ROUND(AVG(user_id), 4), ROUND(CAST(SUM(CAST(value AS DECIMAL(24,6))) AS DOUBLE) / COUNT(value), 4)]"
+    " AS mean FROM events)",
+)
+def file_profile(t):
+    """The profile of a table that grows: sketches of the files of a first part are stored, only
+    those of the second are read for it, and both are merged."""
+    table, path = work_folder(t.spark, "growing"), work_folder(t.spark, "sketches")
+    schema = "event_id bigint, user_id bigint, value double"
+    rows = t.events.select("event_id", "user_id", "value")
+    for part in (0, 1):
+        rows.filter(C("event_id") % 2 == part).write.mode("append").parquet(table)
+        sketches = Q.add_sketches(t.spark, table, schema, path)
+    return Q.merged_profile(sketches).select("column_name", "n", "nulls", "lowest", "mean")
 
 
 VIEWS = tuple(sorted(k for k in ORACLES if k.startswith(("view_", "mv_"))))

@@ -19,15 +19,14 @@ def amount():
 
 def customer_order_products(t, limit: int = 4000) -> DataFrame:
     """Orders with their customer, total, and product names in line order."""
-    lines = t.order_items.select(
-        "order_id", "line_item_id", "product_id", "quantity", "unit_price"
-    ).join(t.products.select("product_id", "product_name"), "product_id")
-    listed = truncated_list(
-        lines, ["order_id"], "product_name", ["line_item_id"], limit,
-        also=[F.sum(amount()).alias("order_total")],
+    lines = t.order_items.select("order_id", "line_item_id", "product_id").join(
+        t.products.select("product_id", "product_name"), "product_id"
     )
+    listed = truncated_list(lines, ["order_id"], "product_name", ["line_item_id"], limit)
+    totals = t.order_items.groupBy("order_id").agg(F.sum(amount()).alias("order_total"))
     return (
         t.orders.join(listed, "order_id")
+        .join(totals, "order_id")
         .join(t.customers, "customer_id")
         .select(
             "order_id", "order_tms", "order_status", "customer_id", "email_address", "full_name",

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakemill.functions import scalars as S
-from lakemill.functions.text import STOP_WORDS, inverted_index, search
+from lakemill.functions.text import (
+    STOP_WORDS,
+    inverted_index,
+    search,
+    search_stored,
+    write_index,
+)
 from lakemill.functions.vectors import build_index, search_index, top_k
 from lakemill.plans.registry import query
 from lakemill.session import work_folder
@@ -28,16 +34,26 @@ def txt_index(t):
     return inverted_index(t.documents, "doc_id", "text")
 
 
-@query(
-    "txt_search",
+SEARCH_SQL = (
     f"SELECT doc_id, CAST(COUNT(*) AS INTEGER) AS hits FROM ({TOKENS_SQL})"
     " WHERE token IN ('from', 'tion', 'ing') GROUP BY doc_id HAVING COUNT(DISTINCT token) = 3"
-    " ORDER BY hits DESC, doc_id",
+    " ORDER BY hits DESC, doc_id"
 )
+
+
+@query("txt_search", SEARCH_SQL)
 def txt_search(t):
     return search(t.documents, "doc_id", "text", ["from", "tion", "ing"])
 
 
+@query("txt_search_index", SEARCH_SQL)
+def txt_search_index(t):
+    """The same search from a stored index, of which it reads the buckets of three tokens."""
+    path = work_folder(t.spark, "text-index")
+    write_index(inverted_index(t.documents, "doc_id", "text"), path)
+    return search_stored(t.spark, path, "doc_id", ["from", "tion", "ing"])
+
+
 @query(
     "vec_top_k",
     "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label"

@@ -321,13 +321,17 @@ ITEMS_SQL = truncated_sql(
     " ON o_orderkey = i.l_orderkey JOIN customer ON o_custkey = c_custkey",
 )
 def customer_order_products(t):
-    lines = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey"))
-    items = truncated_list(
-        lines, ["l_orderkey"], "p_name", ITEM_ORDER, limit=60,
-        also=[line_total_sum().alias("order_total")],
+    """Order totals need the lines alone; the lists need their order and the part's name."""
+    named = t.lineitem.select("l_orderkey", *ITEM_ORDER).join(
+        t.part.select("p_partkey", "p_name"), C("l_partkey") == C("p_partkey")
+    )
+    items = truncated_list(named, ["l_orderkey"], "p_name", ITEM_ORDER, limit=60)
+    totals = t.lineitem.groupBy(C("l_orderkey").alias("of_order")).agg(
+        line_total_sum().alias("order_total")
     )
     return (
         items.join(t.orders, C("o_orderkey") == C("l_orderkey"))
+        .join(totals, C("o_orderkey") == C("of_order"))
         .join(t.customer, C("o_custkey") == C("c_custkey"))
         .select("o_orderkey", "o_orderstatus", "c_custkey", "c_name", "order_total", "items")
     )

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import scalars as S
+from lakemill.functions import vectors
 from lakemill.functions.text import inverted_index, search, search_index
 from lakemill.functions.vectors import top_k
 from lakemill.operators import changes as H
+from lakemill.operators import hierarchy
 from lakemill.operators import lookups as L
 from lakemill.operators import quality as Q
 from lakemill.operators.hierarchy import resolve_roots
@@ -23,7 +25,7 @@ from lakemill.operators.relational import (
     money_sum,
     with_group_values,
 )
-from lakemill.session import work_folder
+from lakemill.session import materialise, work_folder
 from lakemill.sources import delimited, dumps, sinks
 
 
@@ -63,6 +65,36 @@ def test_truncated_list_matches_brute_force(spark, limit):
     assert got == {g: brute_truncated(items, limit) for g, items in groups.items()}
 
 
+@pytest.mark.parametrize("partitions", [1, 9])
+def test_truncated_list_of_a_group_over_many_tasks(spark, partitions):
+    """One group holds most rows; NULL and text keys; batches smaller than a group."""
+    rng = random.Random(6)
+    data = [("hot" if i % 5 else None, i % 3, i, rng.choice(["é" * (i % 4), None, "abc", ""])) for i in range(2000)]
+    want = {}
+    for g, h, _, v in sorted(data, key=lambda r: r[2]):
+        want.setdefault((g, h), []).append(v)
+    want = {k: brute_truncated([v for v in vs if v is not None], 700) for k, vs in want.items()}
+    df = spark.createDataFrame(data, "g string, h int, pos int, v string").repartition(5)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, (partitions, 50), strict=True):
+        spark.conf.set(n, str(v))
+    try:
+        got = {(r.g, r.h): r["items"] for r in truncated_list(df, ["g", "h"], "v", ["pos"], 700).collect()}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert got == want
+
+
+def test_truncated_list_reads_its_source_once(spark):
+    path = folder(spark)
+    spark.createDataFrame([("a", 1, "x")], "g string, p int, v string").write.parquet(path)
+    df = spark.read.schema("g string, p int, v string").parquet(path)
+    plan = truncated_list(df, ["g"], "v", ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("rangepartitioning") == 1
+
+
 def test_truncated_list_skips_nulls_and_keeps_null_groups(spark):
     df = spark.createDataFrame(
         [("a", 1, None), ("a", 2, "x"), ("b", 1, None), (None, 1, "y")], "g string, p int, v string"
@@ -362,7 +394,7 @@ def test_require_rows(spark):
 def test_profile_sketch_agrees_with_exact(spark):
     df = spark.range(200).select((F.col("id") % 7).alias("a"), F.nullif(
         F.col("id") % 2, F.lit(1)).alias("b"))
-    assert rows(Q.profile(df)) == rows(Q.profile(df, exact=False))
+    assert rows(Q.profile(df, exact=True)) == rows(Q.profile(df))
 
 
 def test_missing_share_drops_sparse(spark):
@@ -475,9 +507,33 @@ def test_roots_of_a_long_chain_and_a_wide_root(spark):
 
 
 def test_cycle_is_reported(spark):
-    df = spark.createDataFrame([(1, 2), (2, 1)], "n bigint, p bigint")
-    with pytest.raises(ValueError, match="cycle"):
-        resolve_roots(df, "n", "p", max_rounds=3)
+    """Of three, and behind a long chain that ends: as soon as no open pointer ends."""
+    chain = [(100 + i, 99 + i if i else None) for i in range(40)]
+    for cycle in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (4, 1)], [(1, 1)], [(1, 2), (2, 1), *chain]):
+        df = spark.createDataFrame(cycle, "n bigint, p bigint")
+        with pytest.raises(ValueError, match="cycle"):
+            resolve_roots(df, "n", "p")
+
+
+def test_rounds_write_open_nodes_only(spark, monkeypatch):
+    written = []
+
+    def counted(df, purpose):
+        out = materialise(df, purpose)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy, "materialise", counted)
+    links = [(i, i - 1 if i else None) for i in range(64)]
+    got = hierarchy.resolve_roots(spark.createDataFrame(links, "n bigint, p bigint"), "n", "p")
+    assert {r.node: r.depth for r in got.collect()} == {i: i for i in range(64)}
+    assert written == [64, 63, 62, 60, 56, 48, 32]  # a cycle of three: one round
+    written.clear()
+    with pytest.raises(ValueError):
+        hierarchy.resolve_roots(
+            spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "n bigint, p bigint"), "n", "p"
+        )
+    assert written == [3, 3]
 
 
 def test_periods_are_half_open_and_may_overlap(spark):
@@ -530,7 +586,7 @@ def test_search_agrees_with_index_and_respects_words(spark):
     assert [r.id for r in search(docs, "id", "t", ["été"]).collect()] == [1]
 
 
-def test_top_k_against_brute_force_in_passes(spark):
+def test_top_k_against_brute_force_in_blocks(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -542,8 +598,10 @@ def test_top_k_against_brute_force_in_passes(spark):
     queries = df.filter("id < 6").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     unit = data.astype("float64")
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    for per_pass in (500, 2):
-        got = top_k(df, "id", "v", queries, 8, 5, per_pass)
+    for block in (500, 2):
+        monkeypatch.setattr(vectors, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", block * 7)
+        got = top_k(df, "id", "v", queries, 8, 5)
         found = {}
         for r in got.orderBy("query_id", F.desc(F.round("score", 9)), "id").collect():
             found.setdefault(r.query_id, []).append(r.id)
