@@ -277,6 +277,8 @@ def spelling_variants(
     any length are read whole, and further columns are ignored. A word without a form is its own
     root. Words are compared by code points, so no two rows are equal.
     """
+    if ratio <= 1:
+        raise ValueError("a form must be more frequent than its word")
     words = materialise(count_words(docs, min_chars, min_count, spoiled), "words")
     formed = materialise(forms(words, near_words(words, min_chars, block), ratio), "forms")
     ends = roots(formed)
