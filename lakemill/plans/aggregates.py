@@ -326,20 +326,21 @@ def objects_per_supplier(t):
 
 @query(
     "agg_array",
-    "SELECT l_suppkey, len(list(DISTINCT p_brand)) AS n, to_json(list(DISTINCT p_brand ORDER BY"
-    " p_brand))::VARCHAR AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey",
+    "SELECT l_suppkey, CAST(SUM(c) AS BIGINT) AS n, to_json(list(struct_pack(v := p_brand, n := c)"
+    " ORDER BY p_brand))::VARCHAR AS brands FROM (SELECT l_suppkey, p_brand, COUNT(*) AS c FROM"
+    " lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) GROUP BY l_suppkey",
 )
 def agg_array(t):
-    """The array is shown as JSON text."""
-    pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
-    return (
+    """The array, shown as JSON text, holds each value with the number of its repeats, so that it
+    grows with the distinct values of a group."""
+    pairs = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(row_count().alias("c"))
+    counted = (
         pairs.join(t.part, C("l_partkey") == C("p_partkey"))
-        .select("l_suppkey", "p_brand")
-        .distinct()
-        .groupBy("l_suppkey")
-        .agg(F.sort_array(F.collect_list("p_brand")).alias("a"))
-        .select("l_suppkey", F.size("a").cast("bigint").alias("n"), F.to_json("a").alias("brands"))
+        .groupBy("l_suppkey", "p_brand")
+        .agg(F.sum("c").alias("c"))
     )
+    values = F.sort_array(F.collect_list(F.struct(C("p_brand").alias("v"), C("c").alias("n"))))
+    return counted.groupBy("l_suppkey").agg(F.sum("c").alias("n"), F.to_json(values).alias("brands"))
 
 
 @query(

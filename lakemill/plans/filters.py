@@ -415,7 +415,8 @@ def set_union_distinct(t):
     + ")",
 )
 def set_generated_union(t):
-    counts = stack_counts({name: getattr(t, name) for name in t.names()})
+    """The tables are those found in the folder."""
+    counts = stack_counts({name: t.found(name) for name in t.names()})
     return counts.agg(
         F.count(F.lit(1)).alias("tables"), F.sum("n").alias("total_rows")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import scalars as S
 from lakemill.operators import quality as Q
-from lakemill.operators.relational import stack_counts, with_total
+from lakemill.operators.relational import dense_row_numbers, stack_counts, with_total
 from lakemill.plans.filters import COUNTED
 from lakemill.plans.registry import ORACLES, QUERIES, query
 from lakemill.session import work_folder
@@ -44,12 +44,10 @@ def dataset(t):
             types={"cust": "int"},
         ),
         "lineitem": Q.Relation(
-            t.lineitem,
+            dense_row_numbers(t.lineitem, "source_row"),
             pk=["l_orderkey", "l_linenumber"],
             fks=[(["l_orderkey"], "orders", ["o_orderkey"])],
-            position=[
-                "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
-            ],
+            position=["source_row"],
         ),
     }
 
@@ -59,7 +57,8 @@ KEPT_ORDERS_SQL = (
     " (SELECT c_custkey FROM customer)"
 )
 KEPT_LINES_SQL = (
-    "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM"
+    "SELECT * FROM (SELECT *, row_number() OVER () AS source_row FROM lineitem) WHERE l_orderkey IN"
+    " (SELECT o_orderkey FROM"
     f" ({KEPT_ORDERS_SQL}))"
 )
 
@@ -72,14 +71,14 @@ def drop_orphans(t):
 
 FIRST_LINES_SQL = (
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *,"
-    " row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey,"
-    f" l_quantity, l_extendedprice, l_shipdate) AS r FROM ({KEPT_LINES_SQL})) WHERE r = 1"
+    " row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY source_row) AS r"
+    f" FROM ({KEPT_LINES_SQL})) WHERE r = 1"
 )
 
 
 @query("dq_dedupe_pk", FIRST_LINES_SQL)
 def dedupe_pk(t):
-    """After the orphan pass, as a load does it."""
+    """The first in source order, after the orphan pass, as a load does it."""
     tables, _ = Q.drop_orphans(dataset(t))
     kept, _ = Q.dedupe_pk(tables["lineitem"])
     return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -277,15 +276,28 @@ def clean_bookings(t, sparse=0.1):
     )
 
 
+DATE_COLUMNS = ("arrival_year", "arrival_month", "arrival_day", "status_date")
+
+
 @query(
     "dq_missing_share",
-    "SELECT unnest(['agent', 'company', 'country']) AS column_name, unnest(["
-    "ROUND(AVG(CAST(o_orderkey % 8 = 0 AS INTEGER)), 6),"
-    " ROUND(AVG(CAST(o_orderkey % 16 <> 1 AS INTEGER)), 6),"
-    " ROUND(AVG(CAST(o_orderkey % 83 = 0 AS INTEGER)), 6)]) AS missing FROM orders",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, ROUND(AVG(CAST({e} AS INTEGER)), 6) AS missing FROM orders"
+        for c, e in (
+            ("booking_id", "o_orderkey IS NULL"),
+            ("hotel", "o_orderpriority IS NULL"),
+            ("agent", "o_orderkey % 8 = 0 OR o_custkey IS NULL"),
+            ("company", "o_orderkey % 16 <> 1 OR o_custkey IS NULL"),
+            ("children", "o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0"),
+            ("country", "o_orderkey % 83 = 0 OR o_orderstatus IS NULL"),
+            ("is_canceled", "o_orderkey IS NULL"),
+            ("is_repeated_guest", "o_orderkey IS NULL"),
+            *[(c, "o_orderdate IS NULL") for c in DATE_COLUMNS],
+        )
+    ),
 )
 def missing_share(t):
-    return Q.missing_shares(bookings(t).select("agent", "company", "country"))
+    return Q.missing_shares(bookings(t))
 
 
 PROFILED = (
@@ -331,24 +343,34 @@ def exact_counts(t):
     return with_total(counts, ["table_name"])
 
 
+# Rows that each table should have: one per key. Those of a parent come from its children.
+KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "part": "p_partkey",
+    "orders": "o_orderkey", "lineitem": "l_orderkey, l_linenumber", "events": "event_id",
+    "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
+    "labels": "doc_id", "conversations": "conv_id, turn",
+}
+EXPECTED = {**{n: (n, k) for n, k in KEYS.items()}, "customer": ("orders", "o_custkey")}
+
+
 @query(
     "vfy_expected_actual",
-    "SELECT 'orders' AS table_name, (SELECT COUNT(DISTINCT o_orderkey) FROM orders) AS expected,"
-    " (SELECT COUNT(*) FROM orders) AS actual, (SELECT COUNT(DISTINCT o_orderkey) FROM orders)"
-    " = (SELECT COUNT(*) FROM orders) AS matches UNION ALL SELECT 'customer',"
-    " (SELECT COUNT(DISTINCT o_custkey) FROM orders), (SELECT COUNT(*) FROM customer),"
-    " (SELECT COUNT(DISTINCT o_custkey) FROM orders) = (SELECT COUNT(*) FROM customer)",
+    "SELECT *, expected = actual AS matches FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, (SELECT COUNT(*) FROM (SELECT DISTINCT {k} FROM {source}))"
+        f" AS expected, (SELECT COUNT(*) FROM {n}) AS actual"
+        for n, (source, k) in EXPECTED.items()
+    )
+    + ")",
 )
 def expected_actual(t):
-    """Expected counts come from the keys that the orders table mentions."""
-    counts = stack_counts({"orders": t.orders, "customer": t.customer})
-    keys = stack_counts(
-        {
-            "orders": t.orders.select("o_orderkey").distinct(),
-            "customer": t.orders.select("o_custkey").distinct(),
-        }
-    ).withColumnRenamed("n", "expected")
-    return Q.expected_actual(counts, keys)
+    """Every table; the customers expected are those that the orders mention."""
+    counts = stack_counts({name: getattr(t, name) for name in EXPECTED})
+    keys = {
+        name: getattr(t, source).select(*key.split(", ")).distinct()
+        for name, (source, key) in EXPECTED.items()
+    }
+    return Q.expected_actual(counts, stack_counts(keys).withColumnRenamed("n", "expected"))
 
 
 @query(

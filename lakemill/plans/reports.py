@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemill.operators.hotel import room_cost
@@ -406,17 +406,10 @@ def branch_managers(t):
 )
 def patient_bill_total(t, name="Customer#000000077"):
     """The sum billed to one named patient and the number of bills; NULL and 0 without any."""
-    per_order = t.lineitem.groupBy("l_orderkey").agg(
-        money_sum("l_extendedprice").alias("s"), row_count().alias("n")
-    )
-    theirs = t.customer.filter(C("c_name") == name)
-    return (
-        t.orders.join(theirs, C("o_custkey") == C("c_custkey"))
-        .join(per_order, C("o_orderkey") == C("l_orderkey"))
-        .agg(
-            F.sum("s").cast("decimal(28,2)").alias("billed"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("bills"),
-        )
+    theirs = t.customer.filter(C("c_name") == name).select("c_custkey")
+    orders = t.orders.join(theirs, C("o_custkey") == C("c_custkey")).select("o_orderkey")
+    return t.lineitem.join(orders, C("l_orderkey") == C("o_orderkey")).agg(
+        money_sum("l_extendedprice").alias("billed"), row_count().alias("bills")
     )
 
 
@@ -525,15 +518,18 @@ DISTRIBUTIONS = (
     ),
 )
 def domain_stats(t):
-    """Value counts and shares of several columns."""
-
-    def one(dimension, table, column):
-        df = getattr(t, table)
-        counts = df.groupBy(C(column).alias("value")).agg(row_count().alias("n"))
-        total = df.agg(row_count()).scalar()
-        return counts.select(
-            F.lit(dimension).alias("dimension"), "value", "n",
-            F.round(F.lit(100.0) * C("n") / total, 4).alias("share"),
-        )
-
-    return reduce(DataFrame.unionByName, [one(*d) for d in DISTRIBUTIONS])
+    """Value counts and shares of several columns; each table is read once. The window is over
+    the counts, one row per value of a domain."""
+
+    def counts(table):
+        pairs = [
+            F.struct(F.lit(d).alias("dimension"), C(c).alias("value"))
+            for d, of, c in DISTRIBUTIONS
+            if of == table
+        ]
+        rows = getattr(t, table).select(F.explode(F.array(*pairs)).alias("p"))
+        return rows.groupBy("p.dimension", "p.value").agg(row_count().alias("n"))
+
+    found = reduce(DataFrame.unionByName, [counts(n) for n in dict.fromkeys(d[1] for d in DISTRIBUTIONS)])
+    total = F.sum("n").over(Window.partitionBy("dimension"))
+    return found.withColumn("share", F.round(F.lit(100.0) * C("n") / total, 4))

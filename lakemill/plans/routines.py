@@ -176,16 +176,19 @@ def group_concat(t):
         f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {e} IS NULL) AS nulls FROM orders"
         for c, e in (
             ("o_orderkey", "o_orderkey"),
-            ("status", "nullif(o_orderstatus, 'O')"),
-            ("priority", "nullif(o_orderpriority, '5-LOW')"),
+            ("o_custkey", "nullif(o_custkey % 7, 0)"),
+            ("o_orderstatus", "nullif(o_orderstatus, 'O')"),
+            ("o_totalprice", "o_totalprice"),
+            ("o_orderdate", "o_orderdate"),
+            ("o_orderpriority", "nullif(o_orderpriority, '5-LOW')"),
         )
     ),
 )
 def null_count(t):
-    return L.null_counts(
-        t.orders.select(
-            "o_orderkey",
-            F.nullif("o_orderstatus", F.lit("O")).alias("status"),
-            F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"),
-        )
-    )
+    """Every column of the orders, three of them with gaps."""
+    gaps = {
+        "o_custkey": F.nullif(F.col("o_custkey") % 7, F.lit(0)),
+        "o_orderstatus": F.nullif("o_orderstatus", F.lit("O")),
+        "o_orderpriority": F.nullif("o_orderpriority", F.lit("5-LOW")),
+    }
+    return L.null_counts(t.orders.withColumns(gaps))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Declared schemas spare each query the footer-reading job of schema inference.
 SCHEMAS = {
@@ -103,4 +104,18 @@ class Tables:
         return self._cache[name]
 
     def names(self) -> list[str]:
-        return sorted(SCHEMAS)
+        """The tables in the folder: files and folders named `<table>.parquet`, listed by Spark's
+        own reader, which opens none of them."""
+        listed = (
+            self.spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(self.dir)
+            .select("path")
+        )
+        below = F.regexp_extract("path", r"/([^/]+)\.parquet(?:/.*)?$", 1).alias("name")
+        return sorted(r.name for r in listed.select(below).distinct().collect())
+
+    def found(self, name: str) -> DataFrame:
+        """A table by its name in the folder, with the schema its files state."""
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
