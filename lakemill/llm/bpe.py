@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,24 @@ from lakemill.llm.common import batch, parts
 
 VOCABULARY = "word_bpe_49k.json"
 END = "Ā"  # stands for the end-of-word mark; every other symbol is a byte
-MOST_KNOWN = 40_000  # texts per generation that a worker's cache keeps
+MOST_KNOWN = 80_000  # entries per generation that a worker's cache keeps
+MOST_BYTES = 40  # longer keys are not kept, so a full cache is a few ten megabytes
 
-# The splitting pattern of the vocabulary, for ASCII text (a fixed value of the file).
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+LATIN_END = "\u0250"  # the library's own splitter takes texts with later characters
+
+
+def _latin_pieces() -> re.Pattern:
+    """The splitting pattern of the vocabulary (a fixed value of the file), with its classes of
+    letters and numbers written out up to LATIN_END."""
+    kinds = [(c, unicodedata.category(c)[0]) for c in map(chr, range(ord(LATIN_END)))]
+    letters, numbers = (re.escape("".join(c for c, k in kinds if k == want)) for want in "LN")
+    spaces = r" \t\n\r\f\v\x85\xa0"
+    return re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+    )
+
+
+_LATIN_PIECES = _latin_pieces()
 
 
 def byte_symbols() -> dict[str, int]:
@@ -46,7 +61,8 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.put(key, value)
+        if len(key) <= MOST_BYTES:
+            self.put(key, value)
         return value
 
     def put(self, key, value) -> None:
@@ -73,6 +89,7 @@ class Encoder:
             plain[token] = "".join(chr(symbols[c]) for c in body) + END * end
         self.number = {plain[t]: n for t, n in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.packed = {t: n.to_bytes(4, "little") for t, n in self.number.items()}
         self.names = {n: t for t, n in model["vocab"].items()}
         self.names |= {n: t for t, n in self.special.items()}
 
@@ -90,10 +107,10 @@ class Encoder:
         automaton = ahocorasick.Automaton()
         for token in self.number:
             if self._stands(token):
-                automaton.add_word(token, token)
+                automaton.add_word(token, (token, len(token) - 1))
         automaton.make_automaton()
         self.automaton = automaton
-        self.shorter = Cache(self._shorter)
+        self.shorter = {t: self._shorter(t) for t in self.number if self.whole.get(t)}
         self.allowed = Cache(self._allowed)
         self.pieces = Cache(self._encode)
 
@@ -146,13 +163,22 @@ class Encoder:
         """Tokens of one piece, given as one character per byte with the end mark."""
         size = len(text)
         longest: list[str] = [""] * size
-        for end, token in self.automaton.iter(text):
-            start = end + 1 - len(token)
-            if len(token) > len(longest[start]):
-                longest[start] = token
+        for end, (token, back) in self.automaton.iter(text):
+            longest[end - back] = token  # ends come in order: a later match is the longer one
+        end = size - 1 if text.endswith(END) else -1  # the mark is no token by itself
+        allowed, laid, place, last = self.allowed, [], 0, ""
+        while place < size:  # mostly the longest tokens fit together
+            token = longest[place]
+            place += len(token)
+            if not token or place == end or (last and not allowed[last, token]):
+                break
+            laid.append(token)
+            last = token
+        else:
+            return laid
         usable = [True] * (size + 1)
-        if text.endswith(END):
-            usable[size - 1] = False  # the mark is no token by itself
+        if end >= 0:
+            usable[end] = False
         laid: list[str] = []
         place, token = 0, longest[0]
         while place < size:
@@ -173,14 +199,15 @@ class Encoder:
                 raise ValueError("the vocabulary has no tokens for some bytes")
         return laid
 
-    def _encode(self, piece: str) -> bytes:
-        text = piece.encode("utf-8").decode("latin-1") + (END if self.mark else "")
-        ids = [self.number[t] for t in self.tokens(text)]
-        return np.array(ids, dtype="<u4").tobytes()
+    def _encode(self, piece: bytes) -> bytes:
+        text = piece.decode("latin-1") + (END if self.mark else "")
+        if self.whole.get(text):  # a word that is one token
+            return self.packed[text]
+        return b"".join([self.packed[t] for t in self.tokens(text)])
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
-        return self.pieces[piece]
+        return self.pieces[piece.encode("utf-8")]
 
 
 class WordEncoder(Encoder):
@@ -195,20 +222,23 @@ class WordEncoder(Encoder):
         spec["model"] |= {"vocab": {}, "merges": []}  # normaliser and splitter are enough
         library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.symbols = byte_symbols()
+        self.plain_bytes = {ord(c): b for c, b in byte_symbols().items()}
         self.units = Cache(self._unit)
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(names) + ")") if names else None
 
     def _unit(self, unit: bytes) -> bytes:
         """Ids of a run without ASCII white space."""
-        text = unit.decode("utf-8", "replace")
-        if unit.isascii():
-            pieces = _ASCII_PIECES.findall(text.lower())
+        if unit.isalpha():  # ASCII letters alone are one piece
+            return self._encode(unit.lower())
+        text = unicodedata.normalize("NFC", unit.decode("utf-8", "replace")).lower()
+        if text and max(text) < LATIN_END:
+            pieces = [p.encode("utf-8") for p in _LATIN_PIECES.findall(text)]
         else:
+            text = unit.decode("utf-8", "replace")
             split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
-            pieces = [bytes(self.symbols[c] for c in p).decode("utf-8", "replace") for p, _ in split]
-        return b"".join([self.pieces[p] for p in pieces])
+            pieces = [p.translate(self.plain_bytes).encode("latin-1") for p, _ in split]
+        return b"".join([self.units[p] if p.isalpha() else self.pieces[p] for p in pieces])
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text and self.specials is not None:
@@ -223,6 +253,8 @@ class WordEncoder(Encoder):
         return self.encode_plain(text)
 
     def encode_plain(self, text: bytes) -> bytes:
+        if text.isascii():  # others are composed before they are lower-cased
+            text = text.lower()
         return b"".join(map(self.units.__getitem__, text.split()))
 
 

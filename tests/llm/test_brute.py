@@ -417,3 +417,19 @@ def test_url_query(spark, small):
         ]
         rule = max(fits, key=len, default=None)
         assert r.rule == rule and (rule is None or r.verdict == URL_RULES[rule])
+
+
+def test_latin_texts_encode_as_the_library_does():
+    """Marks that compose only in one case, contractions, numbers and spaces beyond ASCII."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path(None)
+    library, own = Tokenizer.from_file(path), bpe.WordEncoder(path)
+    rnd = random.Random(21)
+    letters = [chr(i) for i in range(0x260)] + list("\'\'\'sStTrRdmlev")
+    letters += ["\u0301", "\u0308", "\u0331", "\u212a", "\u0130", "\u4e2d", "\U0001f600", "\u2003", "\u1e9e", "\u03a3"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) for _ in range(15_000)]
+    texts += ["T\u0308a t\u0308a", "I\'LL We\'Re don\'t", "x" * 300 + "\u00e9", "\u00bd1\u00b2"]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == want, text
