@@ -3,6 +3,9 @@
 The tree grows from the root, one path segment a step. A segment that too few urls share becomes a
 wildcard of its shape (a number, a word). Branches of one node whose labelled share of bad pages
 does not differ from that of their siblings (two-proportion test) are merged into one wildcard.
+A node stops where no test could tell its branches apart: all its labels are equal, or so few that
+even a perfect split is within chance. What follows in its paths is one wildcard tail. So a tree
+is as deep as its labels differ, and only rows of open nodes go on to the next segment.
 A template is rejected by its share of bad pages, smoothed towards its host's, and that towards
 the share of all.
 """
@@ -17,7 +20,6 @@ from pyspark.sql import functions as F
 from lakemill.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 3  # segments that are told apart; what follows is one wildcard tail
 MIN_URLS = 20  # urls that share a segment, for it to stand by itself
 DIFFERENT = 1.96  # standard errors by which a branch differs from its siblings
 WEIGHT = 5.0  # labelled pages that the share above counts for
@@ -48,17 +50,30 @@ def _shape(segment: Column) -> Column:
 
 
 def path_templates(
-    pages: DataFrame, depth: int = DEPTH, min_urls: int = MIN_URLS, different: float = DIFFERENT
+    pages: DataFrame, min_urls: int = MIN_URLS, different: float = DIFFERENT
 ) -> DataFrame:
     """Add `template` to rows of (host, path, bad); bad is 1, 0 or null where there is no label.
 
     Rows are counted per host, node and segment before anything is shuffled. The tables joined
-    back hold one row per branch, not per url.
+    back hold one row per node or branch, not per url.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("_segments", segments).withColumn("template", F.lit(""))
     rows = materialise(rows, "templates")
-    for level in range(depth):
+    closed, level = [], 0
+    while True:
+        # of n labels, k bad, a perfect split lies sqrt(n) standard errors apart
+        node = rows.groupBy("host", "template").agg(
+            F.count("bad").alias("_all_n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("_all_k")
+        )
+        mixed = (F.col("_all_k") > 0) & (F.col("_all_k") < F.col("_all_n"))
+        node = materialise(node.where(mixed & (F.col("_all_n") >= different**2)), "nodes")
+        left = F.when(F.size("_segments") > level, "/**").otherwise("")
+        ended = rows.join(node, ["host", "template"], "left_anti")
+        closed.append(ended.withColumn("template", F.concat("template", left)))
+        if node.isEmpty():
+            return reduce(DataFrame.unionByName, closed).drop("_segments")
+        rows = rows.join(node.select("host", "template"), ["host", "template"], "left_semi")
         rows = rows.withColumn("_segment", F.get("_segments", F.lit(level)))
         often = (
             rows.where("_segment IS NOT NULL")
@@ -77,9 +92,6 @@ def path_templates(
         branch = rows.groupBy("host", "template", "_branch").agg(
             F.count("bad").alias("_n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("_k")
         )
-        node = branch.groupBy("host", "template").agg(
-            F.sum("_n").alias("_all_n"), F.sum("_k").alias("_all_k")
-        )
         rest_n, rest_k = F.col("_all_n") - F.col("_n"), F.col("_all_k") - F.col("_k")
         pooled = F.try_divide(F.col("_all_k"), F.col("_all_n"))
         spread = pooled * (1 - pooled) * (1 / F.nullif("_n", F.lit(0)) + 1 / F.nullif(rest_n, F.lit(0)))
@@ -89,14 +101,15 @@ def path_templates(
             "host", "template", "_branch",
             F.when(F.col("_branch") == "$", "$").when(alike, "*").otherwise(F.col("_branch")).alias("_name"),
         )
-        rows = (
+        moved = (
             rows.join(merged, ["host", "template", "_branch"])
             .withColumn("template", F.concat("template", F.lit("/"), "_name"))
+            .withColumn("_ended", F.col("_name") == "$")
             .drop("_segment", "_literal", "_branch", "_name")
         )
-        rows = materialise(rows, "templates")
-    tail = F.when(F.size("_segments") > depth, "/**").otherwise("")
-    return rows.withColumn("template", F.concat("template", tail)).drop("_segments")
+        moved = materialise(moved, "templates")
+        closed.append(moved.where("_ended").drop("_ended"))
+        rows, level = moved.where("NOT _ended").drop("_ended"), level + 1
 
 
 def template_purity(rows: DataFrame, weight: float = WEIGHT) -> DataFrame:
@@ -126,7 +139,8 @@ def judge_urls(
     template's purity. A null url, or one without `://`, has an empty host and path and belongs to
     the template of the empty path. Repeated rows are judged one by one; a page_id without label
     counts for the shape of the tree only; without any label everything is allowed. Further
-    columns are ignored. An empty table gives no rows.
+    columns are ignored. An empty table gives no rows. Paths of any depth are told apart as far
+    as their labels differ.
     """
     marked = labels.where("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

@@ -343,24 +343,35 @@ def judged(pages, bad):
     """{page_id: (template, purity)} by plain loops; pages maps page_id to (host, path)."""
     parts = {p: [s for s in path.split("/") if s] for p, (_, path) in pages.items()}
     template = dict.fromkeys(pages, "")
-    for level in range(url_templates.DEPTH):
-        seg = {p: parts[p][level] if len(parts[p]) > level else None for p in pages}
-        often = Counter((pages[p][0], template[p], seg[p]) for p in pages)
+    done, level = {}, 0
+    while template:
+        n, k = Counter(), Counter()
+        for p in bad:
+            if p in template:
+                n[pages[p][0], template[p]] += 1
+                k[pages[p][0], template[p]] += bad[p]
+        for p in list(template):
+            node = (pages[p][0], template[p])
+            if not (0 < k[node] < n[node] and n[node] >= url_templates.DIFFERENT**2):
+                done[p] = template.pop(p) + ("/**" if len(parts[p]) > level else "")
+        seg = {p: parts[p][level] if len(parts[p]) > level else None for p in template}
+        often = Counter((pages[p][0], template[p], seg[p]) for p in template)
         branch = {}
-        for p in pages:
+        for p in template:
             if seg[p] is None:
                 branch[p] = "$"
             elif often[pages[p][0], template[p], seg[p]] >= url_templates.MIN_URLS:
                 branch[p] = seg[p]
             else:
                 branch[p] = "{n}" if re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]+)?", seg[p]) else "{s}"
-        n, k = Counter(), Counter()
-        for p in bad:
+        n.clear()
+        k.clear()
+        for p in bad.keys() & template.keys():
             for key in ((pages[p][0], template[p]), (pages[p][0], template[p], branch[p])):
                 n[key] += 1
                 k[key] += bad[p]
         named = {}
-        for p in pages:
+        for p in template:
             node, own = (pages[p][0], template[p]), (pages[p][0], template[p], branch[p])
             name = "*"
             if branch[p] == "$":
@@ -372,9 +383,10 @@ def judged(pages, bad):
                 if spread > 0 and not gap < url_templates.DIFFERENT * spread**0.5:
                     name = branch[p]
             named[p] = f"{template[p]}/{name}"
-        template = named
-    tail = {p: "/**" if len(parts[p]) > url_templates.DEPTH else "" for p in pages}
-    template = {p: template[p] + tail[p] for p in pages}
+        done |= {p: t for p, t in named.items() if t.endswith("/$")}
+        template = {p: t for p, t in named.items() if not t.endswith("/$")}
+        level += 1
+    template = done
     n, k = Counter(), Counter()
     for p in bad:
         for key in (pages[p][0], (pages[p][0], template[p]), None):
@@ -408,6 +420,41 @@ def test_template_tree(spark):
     assert blocked and all(t.startswith("/shop") for t in blocked)
 
 
+def test_pages_that_differ_in_a_deep_segment(spark):
+    """Good and bad pages of one host part at segment 5, and at segment 9 below a shared wildcard."""
+    rows = [(i, f"http://a.com/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}") for i in range(400)]
+    rows += [(400 + i, f"http://b.com/{i}/w/x/y/z/q/r/s/{'bad' if i % 2 else 'good'}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = {i: i % 2 for i, _ in rows if i % 3}
+    labels = spark.createDataFrame(list(bad.items()), "page_id long, bad int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, labels, {"zz/": "block"}).collect()}
+    assert {got[i].verdict for i, _ in rows if i % 2} == {"block"}
+    assert {got[i].verdict for i, _ in rows if not i % 2} == {"allow"}
+    assert got[0].template == "/*/*/*/*/good/**"
+    want = judged({i: (u.split("/")[2], u[len("http://a.com") :]) for i, u in rows}, bad)
+    for i, (template, purity) in want.items():
+        assert got[i].template == template and abs(got[i].purity - purity) < 1e-12
+
+
+def test_verdicts_of_the_url_query(spark, small):
+    """Templates and verdicts of all pages, by plain loops over the tables."""
+    pages = {r.page_id: r.url or "" for r in load(spark, small, "pages").collect()}
+    quality = {r.doc_id: r.quality for r in load(spark, small, "labels").collect()}
+    split, bad = {}, {}
+    for page, url in pages.items():
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+        split[page] = (found[1].lower(), found[2]) if found else ("", "")
+        number = re.search(r"/([0-9]{1,18})(?:\.html)?/?$", split[page][1])
+        if number and quality.get(int(number[1])) is not None:
+            bad[page] = int(quality[int(number[1])] == 0)
+    want = judged(split, bad)
+    for r in QUERIES["op1_url_templates"](spark, small).collect():
+        template, purity = want[r.page_id]
+        assert (r.host, r.path) == split[r.page_id] and r.template == template
+        if r.rule is None:
+            assert r.verdict == ("block" if purity >= url_templates.REJECT else "allow")
+
+
 def test_url_query(spark, small):
     for r in QUERIES["op1_url_templates"](spark, small).collect():
         fits = [
