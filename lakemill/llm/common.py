@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 500_000
 SPACES = b" \t\n\x0b\x0c\r"
@@ -148,27 +150,21 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-def by_bucket(
-    buckets: int, keys: np.ndarray, *values: np.ndarray
-) -> Iterator[tuple[int, bytes]]:
-    """Equal-sized columns dealt by key into one binary row per bucket that has any."""
-    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = [c[order] for c in (keys, *values)]
-    for b in range(buckets):
-        lo, hi = int(bounds[b]), int(bounds[b + 1])
-        if hi > lo:
-            yield b, b"".join(c[lo:hi].tobytes() for c in columns)
-
-
-def from_bucket(payloads: Iterable[bytes], *kinds: str) -> list[np.ndarray]:
-    """Undo `by_bucket` for the rows of one bucket."""
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for payload in payloads:
-        count, at = len(payload) // width, 0
-        for i, kind in enumerate(kinds):
-            parts[i].append(np.frombuffer(payload, dtype=kind, count=count, offset=at))
-            at += count * np.dtype(kind).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+# --- documents with any columns ------------------------------------------------------------------
+
+
+def enclosed(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): all columns of the caller in one struct, so that no name of theirs can
+    meet one of an operator's."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, "doc_id", "text")
+
+
+def disclosed(rows: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The columns of `docs` back from `_row`, with a new text where `changed`; n_chars, where there
+    is one, follows the text."""
+    made = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        size = F.length(text).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(changed, size).otherwise(F.col("_row")["n_chars"])
+    return rows.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

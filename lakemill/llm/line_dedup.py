@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakemill.llm.common import SPACES, batch, parts
 from lakemill.session import materialise
@@ -246,17 +247,18 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Other columns travel as one struct, whatever their names and types.
     """
-    flagged = with_bitmaps(docs, bitmaps)
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rest = F.struct(*(F.col(f"`{c}`") for c in others)).alias("_rest")
-    cut = flagged.where(F.col(KEEP).isNotNull()).select(rest, "text", KEEP)
-    kind = cut.schema["_rest"].dataType.simpleString()
-    fixed = cut.mapInArrow(_cut_texts, f"_rest {kind}, _text string, _chars long")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("_rest"), "doc_id", "text")
+    flagged = with_bitmaps(rows, bitmaps)
+    cut = flagged.where(F.col(KEEP).isNotNull()).select("_rest", "text", KEEP)
+    rest = StructType([cut.schema["_rest"]])
+    fixed = cut.mapInArrow(_cut_texts, rest.add("_text", "string").add("_chars", "long"))
     made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.col("_chars").cast(docs.schema["n_chars"].dataType)
     columns = [(made[c] if c in made else F.col("_rest")[c]).alias(c) for c in docs.columns]
-    untouched = flagged.where(F.col(KEEP).isNull()).drop(KEEP)
+    same = [F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns]
+    untouched = flagged.where(F.col(KEEP).isNull()).select(*same)
     return untouched.union(fixed.select(*columns))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm.common import disclosed, enclosed
 from lakemill.session import materialise
 
 # Forms in Java's syntax, each equal to the plain form but possessive, so that long runs need
@@ -270,7 +271,8 @@ def private_report(docs: DataFrame, **thresholds) -> DataFrame:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """The documents with every span replaced: base kinds and terms by their kind in brackets,
     terms from REMOVE_SHARE on by nothing. Of overlapping spans the earlier one is replaced, up
-    to its end. n_chars, where there is one, follows."""
+    to its end. n_chars, where there is one, follows; all other columns stay, whatever their names.
+    Null and empty texts, repeated rows and rows without doc_id stay; an empty table gives none."""
     private = find_private(docs, **thresholds)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     every = F.array_sort(
@@ -303,13 +305,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)),
     )
-    joined = docs.join(touched, same, "left").withColumn(
-        "text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))
-    )
-    if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        changed = F.when(F.col("_spans").isNotNull(), size)
-        joined = joined.withColumn("n_chars", F.coalesce(changed, "n_chars"))
-    return joined.select(docs.columns)
+    marked = enclosed(docs).join(touched, same, "left").withColumn("_cut", cut)
+    return disclosed(marked, docs, F.col("_cut"), F.col("_spans").isNotNull())
 
 

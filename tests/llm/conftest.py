@@ -34,9 +34,10 @@ def awkward(spark):
         (10, "one", "en", 10),
     ]
     return spark.createDataFrame(
-        [(*r, 1.5, "k", "h", 0) for r in rows],
+        [(*r, 1.5, "k", "h", 0, 7, 8, "s", 9, "b", "r", "c", "t") for r in rows],
         "doc_id long, text string, lang string, n_chars long, score double, keep string,"
-        " hits string, n int",
+        " hits string, n int, _doc int, _hash int, _spans string, _kept_doc int, _keep_bitmap string,"
+        " _row string, _cut string, _text string",
     )
 
 
