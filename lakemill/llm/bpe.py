@@ -23,7 +23,8 @@ from lakemill.llm.common import batch, parts
 
 VOCABULARY = "word_bpe_49k.json"
 END = "Ā"  # stands for the end-of-word mark; every other symbol is a byte
-MOST_KNOWN = 80_000  # entries per generation that a worker's cache keeps
+MOST_KNOWN = 40_000  # entries per generation that a worker's cache keeps
+MOST_UNITS = 140_000  # of the cache of whole words
 MOST_BYTES = 40  # longer keys are not kept, so a full cache is a few ten megabytes
 
 LATIN_END = "\u0250"  # the library's own splitter takes texts with later characters
@@ -223,7 +224,7 @@ class WordEncoder(Encoder):
         library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.plain_bytes = {ord(c): b for c, b in byte_symbols().items()}
-        self.units = Cache(self._unit)
+        self.units = Cache(self._unit, MOST_UNITS)
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(names) + ")") if names else None
 
@@ -350,23 +351,48 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
 
 
+class _Digests:
+    """Digests of ids, and of the text that they decode to."""
+
+    def __init__(self, path: str):
+        self.decoder = _decoder(path)
+        self.decimal = [b"%d" % i for i in range(len(self.decoder.tokens))]
+
+    def of(self, doc_ids: pa.Array, encoded: list[bytes]) -> pa.RecordBatch:
+        out: list[list] = [[], [], []]
+        for packed in encoded:
+            ids = np.frombuffer(packed, "<u4").tolist()
+            out[0].append(len(ids))
+            out[1].append(hashlib.sha256(b" ".join([self.decimal[i] for i in ids])).hexdigest())
+            out[2].append(hashlib.sha256(self.decoder.decode(ids)).hexdigest())
+        return batch(_DIGESTS, doc_ids, *out)
+
+
+_DIGEST_TYPES = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids); the ids are decoded."""
     path = vocabulary_path(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(path)
-        decimal = [b"%d" % i for i in range(len(decoder.tokens))]
+        made = _Digests(path)
         for b in batches:
             for part in parts(b, 200):
-                out: list[list] = [[], [], []]
-                for ids in part["ids"]:
-                    ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest())
-                    out[2].append(hashlib.sha256(decoder.decode(ids)).hexdigest())
-                yield batch(_DIGESTS, part["doc_id"], *out)
-
-    return encoded.select("doc_id", "ids").mapInArrow(
-        rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+                yield made.of(part["doc_id"], [i.as_py() or b"" for i in part["ids"]])
+
+    return encoded.select("doc_id", "ids").mapInArrow(rows, _DIGEST_TYPES)
+
+
+def text_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """`digests(encode(docs))` in one pass, so that ids do not travel between two."""
+    path = vocabulary_path(vocabulary)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, made = _encoder(path), _Digests(path)
+        for b in batches:
+            for part in parts(b, 200):
+                texts = part["text"].cast(pa.binary())
+                yield made.of(part["doc_id"], [encoder.encode(t.as_py() or b"") for t in texts])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, _DIGEST_TYPES)

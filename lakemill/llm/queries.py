@@ -149,7 +149,7 @@ def op7_benchmark_decontamination(spark, sf_dir):
 
 @query("op9_bpe_backtracking")
 def op9_bpe_backtracking(spark, sf_dir):
-    return bpe.digests(bpe.encode(load(spark, sf_dir, "documents")))
+    return bpe.text_digests(load(spark, sf_dir, "documents"))
 
 
 @query("op4_repair_token_files")

@@ -134,7 +134,8 @@ def test_encoding(awkward, nothing):
         ids = library.encode(row.text or "", add_special_tokens=False).ids
         assert np.frombuffer(got[doc].ids, "<u4").tolist() == ids
         assert decoded[doc].text == library.decode(ids, skip_special_tokens=False)
-    assert bpe.digests(bpe.encode(nothing)).count() == 0
+    assert bpe.digests(bpe.encode(nothing)).count() == 0 == bpe.text_digests(nothing).count()
+    assert rows(bpe.text_digests(awkward)) == rows(bpe.digests(encoded))
     assert by_id(bpe.digests(encoded))[1].n_tokens == 0
 
 
