@@ -64,9 +64,21 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _total(parts: Column, n: Column) -> Column:
-    """Code points of the first n strings."""
-    return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+def _starts(pieces: Column, gaps: Column) -> Column:
+    """Where each piece begins, in code points, given what stands before each: one running sum."""
+
+    def add(held: Column, i: Column) -> Column:
+        start = held["at"] + F.length(F.get(gaps, i))
+        return F.struct(
+            (start + F.length(F.get(pieces, i))).alias("at"),
+            F.concat(held["starts"], F.array(start)).alias("starts"),
+        )
+
+    none = F.array().cast("array<int>")
+    first = F.struct(F.lit(0).alias("at"), none.alias("starts"))
+    places = F.sequence(F.lit(0), F.size(pieces) - 1)
+    summed = F.aggregate(places, first, add, lambda held: held["starts"])
+    return F.when(F.size(pieces) > 0, summed).otherwise(none)
 
 
 SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -77,15 +89,16 @@ def base_spans(kind: str) -> Column:
     `<kind>_gaps` (what is between them): valid matches, with code points from 0, the end
     exclusive."""
     matches, gaps = F.col(kind), F.col(f"{kind}_gaps")
-    numbered = F.transform(matches, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-    valid = F.filter(numbered, lambda x: _valid(kind, x["m"]))
+    placed = F.zip_with(
+        matches, _starts(matches, gaps), lambda m, at: F.struct(m.alias("m"), at.alias("at"))
+    )
+    valid = F.filter(placed, lambda x: _valid(kind, x["m"]))
 
     def span(x: Column) -> Column:
-        start = _total(gaps, x["i"] + 1) + _total(matches, x["i"])
         return F.struct(
-            start.alias("start"),
+            x["at"].alias("start"),
             F.lit(KINDS.index(kind)).alias("rank"),
-            (start + F.length(x["m"])).alias("end"),
+            (x["at"] + F.length(x["m"])).alias("end"),
             x["m"].alias("value"),
         )
 
@@ -205,21 +218,21 @@ def find_private(docs: DataFrame, **thresholds) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
     gaps = F.split("text", TERM, -1)
     hits = F.filter(
-        F.transform(
+        F.zip_with(
             "words",
-            lambda w, i: F.struct(
-                w.alias("w"), i.alias("i"), F.try_element_at("shares", F.lower(w)).alias("share")
+            _starts(F.col("words"), F.col("gaps")),
+            lambda w, at: F.struct(
+                w.alias("w"), at.alias("at"), F.try_element_at("shares", F.lower(w)).alias("share")
             ),
         ),
         lambda x: x["share"].isNotNull(),
     )
 
     def span(x: Column) -> Column:
-        start = _total(F.col("gaps"), x["i"] + 1) + _total(F.col("words"), x["i"])
         return F.struct(
-            start.alias("start"),
+            x["at"].alias("start"),
             F.lit(KINDS.index("term")).alias("rank"),
-            (start + F.length(x["w"])).alias("end"),
+            (x["at"] + F.length(x["w"])).alias("end"),
             x["share"].alias("share"),
         )
 

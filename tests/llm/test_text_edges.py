@@ -2,6 +2,7 @@
 whose names clash with its own."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -171,6 +172,16 @@ def test_private(awkward, nothing):
     assert by_id(cleaned)[9].text == "ÄÖÜ ß é 中文 😀 mail [EMAIL] now"
 
 
+def test_many_values_in_one_text(spark):
+    """Places come from one running sum, not from a sum per value."""
+    text = " ".join(f"a{i}@b.cd" for i in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = pii.private_report(df).first()
+    assert got.n_email == 16_000 and got.spans.endswith(f"email:{len(text) - 11}:{len(text)}")
+    assert time.perf_counter() - start < 40
+
+
 def test_passages(awkward, nothing):
     found = passages.shared_passages(awkward)
     assert found.count() == 0  # equal rows of one doc_id are one document
