@@ -109,30 +109,33 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
+def _outside(text: Column) -> Column:
+    """The terms of a text outside of its values; of the forms only addresses hold letters."""
+    rest = F.regexp_replace(text, FORMS["email"], " ")
+    return _terms(F.when(GUARDS["email"](text), rest).otherwise(text))
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, text_hash, the array `base` of spans, by start and kind,
-    the distinct `words` (terms) of the text, and those `outside` of its values, null where that
-    is all. Texts are read once and not kept."""
+    """One row per row of `docs`: doc_id, text_hash, and the array `base` of spans, by start and
+    kind. Neither texts nor their words are kept."""
     text = F.coalesce("text", F.lit(""))
     parts = []
     for kind, form in FORMS.items():
         worth = GUARDS[kind](text)
         parts.append(F.when(worth, F.regexp_extract_all(text, F.lit(form), F.lit(0))).alias(kind))
         parts.append(F.when(worth, F.split(text, form, -1)).alias(f"{kind}_gaps"))
-    # of the forms only addresses hold letters
-    rest = F.regexp_replace(text, FORMS["email"], " ")
-    searched = docs.select(
-        "doc_id",
-        F.xxhash64(text).alias("text_hash"),
-        *parts,
-        _terms(text).alias("words"),
-        F.when(GUARDS["email"](text), _terms(rest)).alias("outside"),
-    )
+    searched = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), *parts)
     spans = F.array_sort(F.concat(*map(base_spans, FORMS)))
-    return searched.select("doc_id", "text_hash", spans.alias("base"), "words", "outside")
+    return searched.select("doc_id", "text_hash", spans.alias("base"))
 
 
 def disclosing_terms(
+    docs: DataFrame,
     found: DataFrame,
     min_texts: int = MIN_TEXTS,
     min_share: float = MIN_SHARE,
@@ -144,18 +147,27 @@ def disclosing_terms(
     share = texts with term and value / texts with the term; bits = log2(share / share of texts
     with the value). Terms are those of the whole text, outside of its values. As no term and
     value meet in more texts than either has, those that cannot reach the thresholds, hot ones
-    among them, are left out before terms and values of a text are paired.
+    among them, are left out before terms and values of a text are paired. Words are read from the
+    texts where they are needed and never stored with them; of texts with copies, one row each.
     """
-    copies = found.groupBy("text_hash").agg(F.count("*").alias("_rows"))
+    copies = found.groupBy("text_hash").agg(
+        F.count("*").alias("_rows"), F.min("doc_id").alias("_first")
+    )
     copies = materialise(copies, "pii")
     total = copies.count()
-    copied = copies.where("_rows > 1").select("text_hash")
-    every = found.select("text_hash", F.coalesce("outside", "words").alias("words"))
-    once = every.join(copied, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    texts = every.join(copied, "text_hash", "left_anti").union(materialise(once, "pii"))
+    copied = materialise(copies.where("_rows > 1").select("text_hash", "_first"), "pii")
+    source = _hashed(docs)
+    alone = source.join(copied, "text_hash", "left_anti").select("text_hash", "text")
+    first = source.join(copied, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    first = first.select("text_hash", "text").dropDuplicates(["text_hash"])
+    every = alone.union(first)
+
+    def words_of(texts: DataFrame) -> DataFrame:
+        return texts.select("text_hash", F.explode(_outside(F.col("text"))).alias("term"))
+
     most = total / 2**min_bits * (1 + 1e-9)
     with_term = (
-        texts.select(F.explode("words").alias("term"))
+        words_of(every)
         .groupBy("term")
         .agg(F.count("*").alias("of_term"))
         .where(F.col("of_term").between(min_texts, most))
@@ -173,11 +185,9 @@ def disclosing_terms(
         .where(F.col("of_value").between(min_texts, most))
     )
     seen = materialise(seen.join(with_value, "value"), "pii")
-    held = (
-        texts.join(seen.select("text_hash").distinct(), "text_hash", "left_semi")
-        .select("text_hash", F.explode("words").alias("term"))
-        .join(with_term, "term")
-    )
+    holding = materialise(seen.select("text_hash").distinct(), "pii")
+    with_term = materialise(with_term, "pii")
+    held = words_of(every.join(holding, "text_hash", "left_semi")).join(with_term, "term")
     share = F.col("both") / F.col("of_term")
     scored = (
         held.join(seen, "text_hash")
@@ -191,7 +201,9 @@ def disclosing_terms(
         .agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
     )
     scored = materialise(scored, "pii")
-    holders = found.select("doc_id", "text_hash", F.explode("words").alias("term"))
+    holders = source.select(
+        "doc_id", "text_hash", F.explode(_terms(F.col("text"))).alias("term")
+    )
     return scored, holders.join(scored, "term").select("doc_id", "text_hash", "term", "share").distinct()
 
 
@@ -204,7 +216,7 @@ def find_private(docs: DataFrame, **thresholds) -> DataFrame:
     """
     source = docs.select("doc_id", "text")
     found = materialise(find_base(source), "pii")
-    _, holders = disclosing_terms(found, **thresholds)
+    _, holders = disclosing_terms(source, found, **thresholds)
     per_text = holders.groupBy("doc_id", "text_hash").agg(
         F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares")
     )
