@@ -32,7 +32,7 @@ def test_prefix_and_list_reach_the_scan(spark):
     assert "StringEndsWith(p_name" in plan_of(spark, "flt_like_suffix")
 
 
-@pytest.mark.parametrize("key", ["win_latest_row", "win_first_per_key", "agg_listagg_truncate"])
+@pytest.mark.parametrize("key", ["win_latest_row", "win_first_per_key"])
 def test_rows_per_group_are_limited_before_the_shuffle(spark, key):
     assert "WindowGroupLimit" in plan_of(spark, key)
 
@@ -51,3 +51,9 @@ def test_small_groups_are_broadcast(spark):
 def test_keys_in_source_order_move_no_rows(spark):
     before_join = plan_of(spark, "win_row_number_key").split("BroadcastExchange")[0]
     assert "Exchange" not in before_join
+
+
+def test_truncated_lists_are_dealt_by_ranges(spark):
+    """A group of any size spreads over tasks, so no window brings it together."""
+    plan = plan_of(spark, "agg_listagg_truncate")
+    assert "rangepartitioning(l_suppkey" in plan and "Window" not in plan
