@@ -8,8 +8,9 @@ is the most that any partner in the band may differ. Equal words make candidates
 single bits (two to four per shingle) screens them: its Hamming distance is at most the symmetric
 difference. What is left is verified on the sets themselves.
 
-Words made of very frequent shingles come last in the order, so a passage that many documents
-share hardly makes candidates. Groups of more than a few sets with an equal word are not paired:
+Words made of frequent shingles come last in the order, so a passage that many documents share
+hardly makes candidates. A shingle is frequent by what slices of the texts report that hold it more
+than once, so the bar follows the root of the table and not its size. Groups of more than a few sets with an equal word are not paired:
 each is tied to the group's first, and only where verified links leave a group in several
 components are pairs across components screened, block against block.
 """
@@ -29,7 +30,9 @@ from lakemill.session import materialise
 
 WIDTH = 5
 SIMILARITY = (75, 100)
-HOT_SHARE = 256  # a shingle is frequent in one of so many documents, and in 16 at least
+HOT_IN_SLICE = 2  # sets of a slice from which on a shingle is reported
+HOT_REPORTED = 8  # reported sets from which on it is frequent
+MOST_HOT = 1_000_000  # frequent shingles sent to all executors: the most frequent ones
 SMALL_GROUP = 8  # sets with an equal word that are paired directly
 BLOCK = 1024  # sets per block where pairs across components are screened
 KEYS_PER_BUCKET = 1_000_000
@@ -67,12 +70,13 @@ MOST_BROADCAST = 500_000  # document ids that may be sent to all executors
 def _describe(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: set[int] = set()
         size = 0
 
         def frequent() -> Iterator[pa.RecordBatch]:
             if held:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
-                many = counts >= max(16, len(held) // HOT_SHARE)
+                many = counts >= HOT_IN_SLICE
                 n = int(many.sum())
                 yield batch(
                     _FACTS, np.ones(n, np.int32), pa.nulls(n, pa.int64()), counts[many],
@@ -85,11 +89,15 @@ def _describe(width: int):
                 counts.append(len(shingles))
                 prints.append(fingerprint(shingles))
                 sketches.append(bit_sketch(shingles).tobytes() if len(shingles) else None)
+                if prints[-1] in seen:  # copies are one set
+                    continue
+                seen.add(prints[-1])
                 held.append(shingles)
                 size += len(shingles)
                 if size >= 1_500_000:
                     yield from frequent()
                     held, size = [], 0
+                    seen.clear()
             n = len(counts)
             yield batch(
                 _FACTS, np.zeros(n, np.int32), b["doc_id"], counts,
@@ -382,20 +390,32 @@ def _across(similarity: tuple[int, int], nearest: bool):
     return pairs
 
 
-def _candidates(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFrame:
-    """(a, b, many): identities of sets that have a sketch word in common."""
-    spark = docs.sparkSession
-    rows, total = facts.where("kind = 0").agg(F.count("*"), F.sum("n")).first()
-    # at most HOT_SHARE times the mean size of a set: a shingle counts if so many documents hold it
-    hot = (
+def _frequent(facts: DataFrame) -> np.ndarray:
+    """The frequent shingles, or the most frequent ones where they are too many to be sent."""
+    counted = (
         facts.where("kind = 1")
         .groupBy("f")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= max(16, rows // HOT_SHARE))
-        .select("f")
-        .collect()
+        .where(F.col("n") >= HOT_REPORTED)
     )
-    frequent = np.sort(np.array([h[0] for h in hot], dtype=np.int64).view(np.uint64))
+    counted = materialise(counted, "frequent")
+    steps = F.floor(8 * F.log2("n"))  # a few hundred steps, whatever the counts
+    held, lowest = 0, None
+    for step, n in sorted(counted.groupBy(steps).count().collect(), reverse=True):
+        held += n
+        if held > MOST_HOT:
+            break
+        lowest = step
+    if lowest is None:
+        return np.zeros(0, np.int64)
+    return counted.where(steps >= lowest).select("f").toArrow()["f"].to_numpy()
+
+
+def _candidates(docs: DataFrame, facts: DataFrame, width: int, similarity) -> DataFrame:
+    """(a, b, many): identities of sets that have a sketch word in common."""
+    spark = docs.sparkSession
+    total = facts.where("kind = 0").agg(F.sum("n")).first()[0]
+    frequent = np.sort(_frequent(facts).view(np.uint64))
     buckets = max(
         2 * int(spark.conf.get("spark.sql.shuffle.partitions")),
         int(total or 0) // 2 // KEYS_PER_BUCKET,
