@@ -475,9 +475,13 @@ def profits(t):
 
 
 def month_sales(t):
-    return t.lineitem.groupBy(
-        F.date_format("l_shipdate", "yyyy-MM").alias("calendar_month_desc")
-    ).agg(money_sum("l_extendedprice").alias("dollars"))
+    """Lines are summed by the first day of their month; only the months are written as text."""
+    months = t.lineitem.groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(
+        money_sum("l_extendedprice").alias("dollars")
+    )
+    return months.select(
+        F.date_format("month", "yyyy-MM").alias("calendar_month_desc"), "dollars"
+    )
 
 
 @query(

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from lakemill.plans import views
+from lakemill.session import Tables
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -57,3 +59,10 @@ def test_truncated_lists_are_dealt_by_ranges(spark):
     """A group of any size spreads over tasks, so no window brings it together."""
     plan = plan_of(spark, "agg_listagg_truncate")
     assert "rangepartitioning(l_suppkey" in plan and "Window" not in plan
+
+
+def test_months_are_grouped_as_days(spark):
+    """No line is turned into text before the sums."""
+    plan = views.month_sales(Tables(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    keys = plan.split("Aggregate [", 1)[1].split("]")[0]
+    assert "trunc" in keys and "date_format" not in keys
